@@ -47,3 +47,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 def sha256_hex(column):
     return F.sha2(column.cast("binary"), 256)
+
+
+def free_name(columns: list[str], base: str) -> str:
+    """``base``, lengthened until no column has that name (Spark ignores case)."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base += "_"
+    return base

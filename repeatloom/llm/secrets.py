@@ -172,19 +172,14 @@ class Formats:
         for kind, value in sorted(labelled):
             by[kind].append(shape(value[:LEARN_CHARS]))
         self.automata = [Automaton(words) for _, words in sorted(by.items())]
-        shapes = [shape(w[:LEARN_CHARS]) for w in ordinary]
-        self.ordinary = Ordinary(shapes)
-        if self.automata:
-            ranked = sorted((self.ratio(s) for s in shapes), reverse=True)
-            # ordinary tokens may themselves hold unlabelled credentials: one in fifty may pass
-            self.threshold = max(MARGIN, ranked[len(ranked) // 50] if ranked else MARGIN)
+        self.ordinary = Ordinary([shape(w[:LEARN_CHARS]) for w in ordinary])
 
     def ratio(self, shaped: str) -> float:
         best = max(a.score(shaped) for a in self.automata)
         return (best - self.ordinary.score(shaped)) / max(1, len(shaped))
 
     def is_credential(self, token: str) -> bool:
-        return bool(self.automata) and self.ratio(shape(token)) > self.threshold
+        return bool(self.automata) and self.ratio(shape(token)) > MARGIN
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -145,17 +145,17 @@ class Trees:
 
 
 def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Knots of the calibration: pooled adjacent violators, each pool shrunk by one row of the mean."""
-    order = np.argsort(margin, kind="stable")
-    pools: list[list[float]] = []
-    for m, v in zip(margin[order], y[order]):
-        pools.append([v, 1.0, m])
+    """Knots of the calibration: pooled adjacent violators, each pool shrunk by one row of
+    the mean, flat inside a pool and linear between pools. Equal margins are one pool."""
+    pools: list[list[float]] = []  # sum, rows, least margin, greatest
+    at, inverse = np.unique(margin, return_inverse=True)
+    for m, v, n in zip(at, np.bincount(inverse, y, len(at)), np.bincount(inverse, minlength=len(at))):
+        pools.append([v, n, m, m])
         while len(pools) > 1 and pools[-2][0] / pools[-2][1] >= pools[-1][0] / pools[-1][1]:
             last = pools.pop()
-            pools[-1] = [pools[-1][0] + last[0], pools[-1][1] + last[1], last[2]]
+            pools[-1] = [pools[-1][0] + last[0], pools[-1][1] + last[1], pools[-1][2], last[3]]
     mean = float(y.mean()) if len(y) else 0.0
-    starts = [margin[order][0]] + [p[2] for p in pools[:-1]] if pools else []
-    x = [v for a, p in zip(starts, pools) for v in (a, p[2])]
+    x = [v for p in pools for v in p[2:]]
     p = [(q[0] + mean) / (q[1] + 1) for q in pools for _ in (0, 1)]
     return np.array(x), np.maximum.accumulate(np.array(p)) if p else np.array([])
 

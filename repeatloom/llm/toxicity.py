@@ -23,6 +23,8 @@ LEARN_ROWS = 12_000
 #: Lexicon entries that are learnt at most, and in how many toxic texts each must be.
 LEXICON, LEAST_TEXTS, LEAST_WEIGHT = 4000, 3, 1.5
 FOLDS = 5
+#: Tokens whose properties a worker holds.
+CACHE_TOKENS = 150_000
 
 #: Common insults and words of the second person.
 INSULTS = "idiot idiots moron morons stupid dumb loser losers scum trash garbage pathetic worthless disgusting clown fool imbecile jerk pig vermin filth".split()
@@ -49,7 +51,7 @@ class Tokens(dict):
         self.lexicon, self.fixed, self.you = lexicon, set(INSULTS), set(YOU)
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > CACHE_TOKENS:
             self.clear()
         core = _EDGE.sub("", token)
         word = core.rstrip("!").lower()

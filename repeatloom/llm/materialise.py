@@ -1,8 +1,8 @@
 """Training-order materialisation of token sequences as fixed-stride binary shards.
 
 1. Each input partition cuts its documents' ids (and end ids), joined in order, into
-   sequences of ``LENGTH`` ids; the last is padded. Partitions report how many they
-   have, which numbers all sequences from 0 without gaps.
+   sequences of ``LENGTH`` ids; the last is padded. They are written once, compressed,
+   and counted by partition, which numbers all of them from 0 without gaps.
 2. A keyed Feistel network permutes the numbers; results outside the range walk the
    cycle until they are inside. The result is the sequence's slot in training order.
 3. Slots are range-partitioned into shards. Each shard is one file of records of equal
@@ -21,11 +21,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, table
+from .common import cut, new_path, table
 from .tokens import encoder, vocabulary
 
 LENGTH, END_ID, PAD_ID = 2048, 1, 0
@@ -108,43 +109,43 @@ def write_shards(docs: DataFrame, target: str | None = None, tokenizer: str | No
     path, target = tokenizer or vocabulary(), target or new_path(spark, "shards")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, n = encoder(path).encode, 0
-        for batch in batches:
-            n += sum(len(encode(t.as_py() or "")) // 4 + 1 for t in batch.column(1))
-        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": pa.array([-(-n // length)], pa.int64())})
-
-    counts = dict(tuple(r) for r in docs.mapInArrow(count, "part int, n long").collect())  # two numbers a partition
-    first, total = {}, 0
-    for part in sorted(counts):
-        first[part] = total
-        total += counts[part]
-
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, made, seen = TaskContext.get().partitionId(), [], 0
+        kind = record_type(encoder(path).tokenizer.get_vocab_size())
+        part, pack, at = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=3), 0
+        made: list[tuple[bytes, list[dict]]] = []
 
         def out() -> pa.RecordBatch:
-            slots = feistel(first[part] + seen - len(made) + np.arange(len(made)), total, key) if made else np.zeros(0, np.int64)
-            data = [np.frombuffer(m[0], "<u4").astype("<u2").tobytes() if kind == "<u2" else m[0] for m in made]
-            return pa.RecordBatch.from_pydict({"shard": pa.array(slots // shard_slots), "slot": pa.array(slots), "record": pa.array(data, pa.binary()), "pieces": pa.array([m[1] for m in made], _PIECES)})
+            data = [pack.compress(np.frombuffer(m[0], "<u4").astype(kind).tobytes()) for m in made]
+            n = np.arange(at - len(made), at)
+            return pa.RecordBatch.from_pydict({"part": pa.array(np.full(len(n), part)), "n": pa.array(n), "record": pa.array(data, pa.binary()), "pieces": pa.array([m[1] for m in made], _PIECES)})
 
-        kind = record_type(encoder(path).tokenizer.get_vocab_size())
         for sequence in _sequences(batches, path, length):
             made.append(sequence)
-            seen += 1
+            at += 1
             if len(made) == 1024:
                 yield out()
                 made = []
-        if seen != counts[part]:
-            raise RuntimeError(f"partition {part} had {counts[part]} sequences when counted and {seen} when cut")
         yield out()
 
+    sequences = cut(docs.mapInArrow(cut_up, f"part long, n long, record binary, pieces {PIECES}"), "sequences")
+    first, total = {}, 0
+    for row in sorted(sequences.groupBy("part").count().collect()):  # two numbers an input partition
+        first[row["part"]] = total
+        total += row["count"]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            index = np.array([first[p] for p in batch.column(0).to_pylist()], np.int64) + batch.column(1).to_numpy()
+            slots = feistel(index, total, key) if len(index) else index
+            yield pa.RecordBatch.from_pydict({"shard": pa.array(slots // shard_slots), "slot": pa.array(slots), "record": batch.column(2), "pieces": batch.column(3)})
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = record_type(encoder(path).tokenizer.get_vocab_size())
         size = length * np.dtype(kind).itemsize
         fs, base = pyarrow.fs.FileSystem.from_uri(target)
         fs.create_dir(base, recursive=True)
         shard, stream, temporary, last, told = None, None, "", -1, []
+        unpack = zstandard.ZstdDecompressor()
 
         def close() -> Iterator[pa.RecordBatch]:
             """Publish the shard and read its pieces back."""
@@ -172,14 +173,14 @@ def write_shards(docs: DataFrame, target: str | None = None, tokenizer: str | No
                     stream = fs.open_output_stream(temporary)
                 if slot != last + 1:
                     raise RuntimeError(f"slot {slot} follows slot {last}")
-                stream.write(record)
+                stream.write(unpack.decompress(record))
                 told.append((slot, pieces))
                 last = slot
         yield from close()
 
     shards = max(1, -(-total // shard_slots))
-    sequences = docs.mapInArrow(cut_up, f"shard long, slot long, record binary, pieces {PIECES}")
-    dealt = sequences.repartition(shards, "shard").sortWithinPartitions("slot")
+    placed = sequences.mapInArrow(place, f"shard long, slot long, record binary, pieces {PIECES}")
+    dealt = placed.repartition(shards, "shard").sortWithinPartitions("slot")
     return dealt.mapInArrow(write, "doc_id long, start long, length long, slot long, offset long, shard long, ids_crc32 long, sequences long")
 
 

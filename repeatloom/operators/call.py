@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from ..functions import text as X
 from ..kernels import alleles as K
 from . import stats
 
+#: Loci whose mixtures are fitted at once.
+TOGETHER = 512
 _OUT = "{key} {kind}, hp int, value double, n long, allele int, median double, allele_hp int, minor boolean, method string, notes string"
 
 
@@ -21,30 +24,46 @@ def assign_alleles(cells: DataFrame, options: S.Options = S.Options(), key: str
     """Cells (key, hp, value, n, ploidy) with their allele (from 1 by size; -1 for none),
     its median, tag and whether it is a minor mode, and the locus's method and notes.
 
-    A locus is one group, as large as its distinct (size, tag) pairs, not as its reads.
+    A locus is as large as its distinct (size, tag) pairs, not as its reads. Loci are
+    brought together by key and ``TOGETHER`` of them are fitted at a time.
     """
     kind = cells.schema[key].dataType.simpleString()
 
-    def run(group: pa.Table) -> pa.Table:
-        x, hp, n = (group.column(c).to_numpy() for c in ("value", "hp", "n"))
-        made = K.assign(x, hp, n, int(group.column("ploidy")[0].as_py()), options.mosaic, options.min_support, options.min_frac, options.use_hp)
-        of = [made.alleles[k] if k >= 0 else None for k in made.labels]
-        return pa.table(
-            {
-                key: group.column(key),
-                "hp": group.column("hp").cast(pa.int32()),
-                "value": group.column("value"),
-                "n": group.column("n").cast(pa.int64()),
-                "allele": pa.array([int(k) + 1 if k >= 0 else -1 for k in made.labels], pa.int32()),
-                "median": pa.array([a and a.median for a in of], pa.float64()),
-                "allele_hp": pa.array([a and a.hp for a in of], pa.int32()),
-                "minor": pa.array([a and a.minor for a in of], pa.bool_()),
-                "method": pa.array([made.method] * len(of), pa.string()),
-                "notes": pa.array(["; ".join(made.notes)] * len(of), pa.string()),
-            }
+    def assigned(loci: list[list[tuple]], key_type: pa.DataType) -> pa.RecordBatch:
+        columns = [list(zip(*rows)) for rows in loci]
+        made = K.assign_many(
+            [
+                {"values": np.array(c[2]), "hps": np.array(c[1]), "counts": np.array(c[3]), "ploidy": int(c[4][0]), "mosaic": options.mosaic, "min_support": options.min_support, "min_frac": options.min_frac, "use_hp": options.use_hp}
+                for c in columns
+            ]
         )
-
-    return cells.select(key, "hp", "value", "n", "ploidy").groupBy(key).applyInArrow(run, _OUT.format(key=key, kind=kind))
+        rows = []
+        for cells_, m in zip(loci, made):
+            text = "; ".join(m.notes)
+            for (k, hp, value, n, _), label in zip(cells_, m.labels.tolist()):
+                a = m.alleles[label] if label >= 0 else None
+                rows.append((k, hp, value, n, label + 1 if a else -1, a and a.median, a and a.hp, a and a.minor, m.method, text))
+        types = [key_type, pa.int32(), pa.float64(), pa.int64(), pa.int32(), pa.float64(), pa.int32(), pa.bool_(), pa.string(), pa.string()]
+        data = list(zip(*rows)) if rows else [[]] * len(types)
+        names = [x.split()[0] for x in _OUT.format(key=key, kind=kind).split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(data, types)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loci: list[list[tuple]] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if not loci or loci[-1][0][0] != row[0]:
+                    if len(loci) >= TOGETHER:
+                        yield assigned(loci, batch.schema.field(0).type)
+                        loci = []
+                    loci.append([])
+                loci[-1].append(row)
+        if loci:
+            yield assigned(loci, batch.schema.field(0).type)
+
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, so not merged: the work is not in the bytes
+    ordered = cells.select(key, F.col("hp").cast("int").alias("hp"), "value", F.col("n").cast("long").alias("n"), "ploidy").repartition(parts, key).sortWithinPartitions(key, "value", "hp")
+    return ordered.mapInArrow(run, _OUT.format(key=key, kind=kind))
 
 
 def summarise(assigned: DataFrame, key: str = "locus") -> DataFrame:

@@ -324,6 +324,7 @@ def notes() -> Column:
         return F.when(a["other_period"].isNotNull(), F.concat(F.lit(f"allele {k} repeats every "), a["other_period"].cast("string"), F.lit(" bp: not classified")))
 
     few = F.col("n_no_run") > 0
+    dropped = F.nullif(F.filter("unused_motifs", lambda u: u["class"].isin("reference", "pathogenic", "benign")), F.expr("cast(array() as array<struct<class:string,motif:string,reason:string>>)"))
     return F.concat_ws(
         "; ",
         F.when(F.col("ploidy") == 0, "locus skipped for this sex").when(F.col("n_calls") == 0, "no spanning or split reads"),
@@ -334,6 +335,7 @@ def notes() -> Column:
         wide(2),
         period(1),
         period(2),
+        F.array_join(F.transform(dropped, lambda u: F.concat(u["class"], F.lit(" motif "), u["motif"], F.lit(" not matched: "), u["reason"])), "; "),
     )
 
 
@@ -360,7 +362,8 @@ def complete(loci: DataFrame) -> DataFrame:
         "down_window": F.lit(None).cast(window),
         "period": F.lit(None).cast("struct<left:int,right:int>"),
         "other_periods": F.expr("cast(array() as array<int>)"),
-        "interruptions_in_size": F.lit(False),
+        "interruptions_in_size": F.lit(True),
+        "unused_motifs": F.expr("cast(array() as array<struct<class:string,motif:string,reason:string>>)"),
         "bands": F.expr("cast(array() as array<struct<upper:double,label:string>>)"),
         "composition": F.lit(False),
     }

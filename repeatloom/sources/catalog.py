@@ -53,6 +53,7 @@ def load(spark: SparkSession, path: str, build: str = "hg38", overlay: dict | No
         F.col("chrom").alias("contig"),
         reference.alias("ref_motifs"),
         *[same[k].alias(f"{k}_motifs") for k in ("pathogenic", "benign", "unknown", "interruption")],
+        *[F.col(k).alias(f"{k.split('_')[0]}_all") for k in _LISTS[:5]],
         F.col("benign_min").alias("bmin"),
         F.col("benign_max").alias("bmax"),
         F.col("intermediate_min").alias("imin"),
@@ -67,8 +68,52 @@ def load(spark: SparkSession, path: str, build: str = "hg38", overlay: dict | No
     ).where("start_pos is not null and end_pos is not null and size(ref_motifs) > 0")
     if overlay:
         rows = with_overlay(rows, overlay)
+    return derived(rows)
+
+
+_UNUSED = "array<struct<class:string,motif:string,reason:string>>"
+
+
+def _unmatched(kind: str, n: Column) -> Column:
+    """Motifs of a class whose length is not the unit's."""
+    none = F.expr("cast(array() as array<string>)")
+    other = F.filter(F.transform(F.coalesce(F.col(f"{kind}_all"), none), F.upper), lambda m: F.length(m) != n)
+    why = lambda m: F.format_string("%d bp against a unit of %d", F.length(m), n)
+    return F.transform(other, lambda m: F.struct(F.lit(kind).alias("class"), m.alias("motif"), why(m).alias("reason")))
+
+
+def derived(rows: DataFrame) -> DataFrame:
+    """Columns that follow from a record and its overlay: composition, motif on the gene's
+    strand, unused motifs, other periods, methylation windows."""
+    n = F.col("unit_len")
+    have = lambda c, kind: F.col(c) if c in rows.columns else F.lit(None).cast(kind)
+    unused = F.concat(*[_unmatched(k, n) for k in ("reference", "pathogenic", "benign", "unknown")])
+    overruled = F.transform(have("unused_interruptions", "array<string>"), lambda m: F.struct(F.lit("interruption").alias("class"), m.alias("motif"), F.lit("other interruptions are used").alias("reason")))
+    unused = F.concat(unused, F.coalesce(overruled, _unmatched("interruption", n))).cast(_UNUSED)
+    other = F.filter(F.transform(F.filter(F.col("unused_motifs"), lambda u: u["class"] != "interruption"), lambda u: F.length(u["motif"])), lambda p: (p % n != 0) & (n % p != 0))
+    up, down = (F.coalesce(have(c, "int"), F.lit(0)) for c in ("meth_up_bp", "meth_down_bp"))
+    before = lambda bp: F.struct((F.col("start_pos") - bp).alias("start"), F.col("start_pos").alias("end"))
+    after = lambda bp: F.struct(F.col("end_pos").alias("start"), (F.col("end_pos") + bp).alias("end"))
+    plus = F.col("gene_strand") == "+"
+    cpg = F.exists("ref_motifs", lambda m: F.contains(F.concat(m, m), F.lit("CG")))
     distinct_from = F.array_except("pathogenic_motifs", F.flatten(F.transform("ref_motifs", Q.rotations)))
-    return rows.withColumns({"composition": F.size(distinct_from) > 0, "gene_motif": Q.on_strand(F.col("ref_motifs")[0], F.col("gene_strand"))})
+    made = rows.withColumns(
+        {
+            "unused_motifs": unused,
+            "composition": F.size(distinct_from) > 0,
+            "gene_motif": Q.on_strand(F.col("ref_motifs")[0], F.col("gene_strand")),
+            "interruptions_in_size": F.coalesce(have("interruptions_in_size", "boolean"), F.lit(True)),
+            "meth_relevant": F.coalesce(have("meth_relevant", "boolean"), cpg),
+            "up_window": F.when(up > 0, F.when(plus, before(up)).otherwise(after(up))),
+            "down_window": F.when(down > 0, F.when(plus, after(down)).otherwise(before(down))),
+        }
+    )
+    return made.withColumn("other_periods", F.sort_array(F.array_distinct(other)).cast("array<int>"))
+
+
+def dropped_motifs(loci: DataFrame) -> DataFrame:
+    """(id, class, motif, reason): motifs that results would be classed by, but that are not matched."""
+    return loci.select("id", F.explode("unused_motifs").alias("u")).select("id", "u.*").where(F.col("class").isin("reference", "pathogenic", "benign"))
 
 
 def read_overlay(path: str) -> dict:
@@ -84,29 +129,40 @@ def read_overlay(path: str) -> dict:
 
 
 def overlay_frame(spark: SparkSession, overlay: dict) -> DataFrame:
-    """(id, o_aliases, o_bands, o_interruptions, o_counted): one row per locus of the overlay."""
+    """One row per locus of the overlay: aliases, bands, interruptions, methylation, caveats."""
     rows = []
     for k, e in (overlay.get("loci") or {}).items():
         bands = [(None if b.get("upper") is None else float(b["upper"]), str(b["label"])) for b in e.get("bands") or []]
-        rows.append((k, [str(a) for a in e.get("aliases") or []], bands, e.get("interruptions_gene"), bool(e.get("interruptions_in_size", False))))
-    return spark.createDataFrame(rows, "id string, o_aliases array<string>, o_bands array<struct<upper:double,label:string>>, o_interruptions array<string>, o_counted boolean")
+        meth = e.get("methylation") or {}
+        counted = e.get("interruptions_in_size")
+        rows.append((k, [str(a) for a in e.get("aliases") or []], bands, [str(m) for m in e.get("interruptions_gene") or []], None if counted is None else bool(counted), bool(meth.get("relevant", False)), int(meth.get("up_bp") or 0), int(meth.get("down_bp") or 0), [str(c) for c in e.get("caveats") or []], bool(e.get("inhouse", False))))
+    schema = "id string, o_aliases array<string>, o_bands array<struct<upper:double,label:string>>, o_interruptions array<string>, o_counted boolean, o_meth boolean, o_up int, o_down int, o_caveats array<string>, o_inhouse boolean"
+    return spark.createDataFrame(rows, schema)
 
 
 def with_overlay(rows: DataFrame, overlay: dict) -> DataFrame:
-    """Bands, aliases and interruptions of the overlay; its interruptions, given on the
-    gene's strand, replace the catalogue's even where it lists none."""
+    """Bands, aliases, methylation windows and interruptions of the overlay; its
+    interruptions, on the gene's strand, replace the catalogue's even where it lists none."""
     joined = rows.join(F.broadcast(overlay_frame(rows.sparkSession, overlay)), "id", "left")
+    known = F.col("o_inhouse").isNotNull()
     turned = F.transform("o_interruptions", lambda m: Q.on_strand(m, F.col("gene_strand")))
     none = F.expr("cast(array() as array<string>)")
-    return joined.withColumns(
+    listed = F.transform(F.coalesce("interruption_all", none), F.upper) if "interruption_all" in rows.columns else F.col("interruption_motifs")
+    made = joined.withColumns(
         {
             "aliases": F.coalesce("o_aliases", "aliases"),
             "bands": F.coalesce("o_bands", "bands"),
-            "unused_interruptions": F.when(F.col("o_counted").isNotNull(), F.filter("interruption_motifs", lambda m: ~F.array_contains(F.coalesce(turned, none), m))),
-            "interruption_motifs": F.when(F.col("o_counted").isNotNull(), of_length(F.coalesce(turned, none), F.col("unit_len"))).otherwise(F.col("interruption_motifs")),
-            "interruptions_in_size": F.coalesce("o_counted", F.lit(False)),
+            "unused_interruptions": F.when(known, F.filter(listed, lambda m: ~F.array_contains(turned, m))),
+            "interruption_motifs": F.when(known, turned).otherwise(F.col("interruption_motifs")),
+            "interruptions_in_size": F.coalesce("o_counted", F.lit(True)),
+            "meth_relevant": F.when(known, F.col("o_meth")),
+            "meth_up_bp": F.coalesce("o_up", F.lit(0)),
+            "meth_down_bp": F.coalesce("o_down", F.lit(0)),
+            "caveats": F.coalesce("o_caveats", none),
+            "inhouse": F.coalesce("o_inhouse", F.lit(False)),
         }
-    ).drop("o_aliases", "o_bands", "o_interruptions", "o_counted")
+    )
+    return made.drop(*[c for c in made.columns if c.startswith("o_")])
 
 
 def lookup(loci: DataFrame, keys: list[str], columns: list[str] | None = None) -> DataFrame:

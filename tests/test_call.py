@@ -30,10 +30,24 @@ def test_catalogue(loci):
     assert rows["EMPTY"].composition and rows["EMPTY"].gene_motif == "CCTT"
 
 
+def test_derived_columns(spark, tmp_path):
+    rec = {"id": "A", "gene": "g", "chrom": "chr1", "gene_strand": "-", "motif_len": 5, "start_hg38": 100, "stop_hg38": 150, "reference_motif_reference_orientation": ["AAAAG"], "pathogenic_motif_reference_orientation": ["AAGGG", "AAAGGG", "AAAAGAAAAG"], "interruption_reference_orientation": ["AAG"]}
+    (tmp_path / "c.json").write_text(json.dumps([rec | {"gene": "old"}, rec]))
+    over = {"loci": {"A": {"methylation": {"relevant": True, "up_bp": 30, "down_bp": 20}, "interruptions_in_size": False, "caveats": ["c"]}}}
+    plain = catalog.load(spark, f"file://{tmp_path}/c.json").first()
+    rich = catalog.load(spark, f"file://{tmp_path}/c.json", overlay=over).first()
+    assert plain.gene == "g" and plain.composition and plain.other_periods == [6] and plain.interruptions_in_size and plain.up_window is None and not plain.meth_relevant
+    assert [(u["class"], u.motif) for u in plain.unused_motifs] == [("pathogenic", "AAAGGG"), ("pathogenic", "AAAAGAAAAG"), ("interruption", "AAG")]
+    assert tuple(rich.up_window) == (150, 180) and tuple(rich.down_window) == (80, 100) and rich.meth_relevant and not rich.interruptions_in_size and rich.interruption_motifs == []
+    assert catalog.dropped_motifs(catalog.load(spark, f"file://{tmp_path}/c.json")).count() == 2
+    with pytest.raises(ValueError):
+        catalog.load(spark, f"file://{tmp_path}/c.json", "hg99")
+
+
 def test_overlay(loci):
     over = {"loci": {"FXS_FMR1": {"aliases": ["FRAXA"], "interruptions_gene": ["TGG"], "bands": [{"upper": 44, "label": "normal"}, {"upper": None, "label": "full mutation"}]}}}
     r = {x.id: x for x in catalog.with_overlay(loci, over).collect()}["FXS_FMR1"]
-    assert r.aliases == ["FRAXA"] and r.interruption_motifs == ["TGG"] and r.unused_interruptions == ["AGG"] and r.bands[1].label == "full mutation"
+    assert r.aliases == ["FRAXA"] and r.interruption_motifs == ["TGG"] and r.unused_interruptions == ["AGG", "CTGA"] and r.bands[1].label == "full mutation"
     found = catalog.lookup(catalog.with_overlay(loci, over), ["fraxa", "g2"])
     assert {(x.id, x.key) for x in found.collect()} == {("FXS_FMR1", "fraxa"), ("EMPTY", "g2")}
     assert catalog.unknown_keys(loci, ["FMR1", "nope"]) == ["nope"]

@@ -82,7 +82,7 @@ def cmd_call(args) -> int:
         if fasta.build_suspect(loci):
             print("warning: most tracts do not hold their motif: is the reference of another build?", file=sys.stderr)
     options = S.Options(min_mapq=args.min_mapq, min_support=args.min_support, sex=args.sex, use_hp=not args.ignore_hp, mosaic=args.mosaic, clinical=args.clinical, meth_threshold=args.meth_threshold, meth_convention=args.meth_convention)
-    made = call(reads, loci, options, sample)
+    made = call(reads, loci, options, sample, bam.contigs(spark, args.reads) if lengths else None)
     per_read, per_locus = tables.per_read(made["reads"], loci), tables.per_locus(made["loci"])
     tables.write_tsv(per_read, uri(f"{args.out}.per_read.tsv"), S.PER_READ_COLUMNS, ["locus_ord", "read_ord"])
     tables.write_tsv(per_locus, uri(f"{args.out}.loci.tsv"), S.locus_header(), ["ord"])

@@ -23,6 +23,7 @@ from .. import schema as S
 from ..functions import classify as C
 from ..kernels import basemods, consensus as cons, geometry
 from ..kernels.units import Run, competing_period, motifs
+from ..sources.catalog import resolve_contigs
 from ..storage import cut
 from . import reads as R
 from . import stats
@@ -127,7 +128,7 @@ def observations(reads: DataFrame, loci: DataFrame, options: S.Options = S.Optio
     """Every usable record at every locus it overlaps, with what it shows of the tract."""
     reach = options.flank + options.anchor
     left = R.usable(reads, options).withColumn("l_start", F.col("pos")).withColumn("l_end", _reference_end(reads))
-    right = loci.select("contig", (F.greatest(F.col("start_pos") - reach, F.lit(0))).alias("r_start"), (F.col("end_pos") + reach).alias("r_end"), *_LOCUS)
+    right = loci.select(F.col("found_contig").alias("contig"), (F.greatest(F.col("start_pos") - reach, F.lit(0))).alias("r_start"), (F.col("end_pos") + reach).alias("r_end"), *_LOCUS)
     joined = interval_join(left, right).drop("l_start", "l_end", "r_start", "r_end", "contig")
     return joined.mapInArrow(_observe(options), OBSERVED)
 
@@ -327,7 +328,7 @@ def notes() -> Column:
     dropped = F.nullif(F.filter("unused_motifs", lambda u: u["class"].isin("reference", "pathogenic", "benign")), F.expr("cast(array() as array<struct<class:string,motif:string,reason:string>>)"))
     return F.concat_ws(
         "; ",
-        F.when(F.col("ploidy") == 0, "locus skipped for this sex").when(F.col("n_calls") == 0, "no spanning or split reads"),
+        F.when(F.col("found_contig").isNull(), F.concat(F.lit("contig "), F.col("contig"), F.lit(" not in the alignment"))).when(F.col("ploidy") == 0, "locus skipped for this sex").when(F.col("n_calls") == 0, "no spanning or split reads"),
         F.nullif(F.col("assign_notes"), F.lit("")),
         F.when(lone, "second allele not called"),
         F.when(few & (F.col("n_calls") == 0), F.concat(F.lit("warning: no run of the motif in "), F.col("n_no_run").cast("string"), F.lit(" spanning reads"))).when(few & (F.col("n_no_run") >= F.col("n_calls")), F.concat(F.lit("warning: as many spanning reads without a run as calls: "), F.col("n_no_run").cast("string"))),
@@ -339,14 +340,16 @@ def notes() -> Column:
     )
 
 
-def call(reads: DataFrame, loci: DataFrame, options: S.Options = S.Options(), sample: str = "sample") -> dict[str, DataFrame]:
+def call(reads: DataFrame, loci: DataFrame, options: S.Options = S.Options(), sample: str = "sample", contigs: DataFrame | None = None) -> dict[str, DataFrame]:
     """The flagship dataflow: ``observations``, ``reads``, ``alleles`` and ``loci`` tables.
 
     reads: as ``schema.READS``. loci: as ``sources.catalog.load`` gives; with
-    ``complete`` columns added where they are absent. Each stage is read by several
+    ``complete`` columns added where they are absent. contigs: the alignment's, by which
+    loci are renamed and those without one are noted. Each stage is read by several
     others, so it is written once to the shared folder instead of being planned again.
     """
     loci = complete(loci)
+    loci = resolve_contigs(loci, contigs) if contigs is not None else loci.withColumn("found_contig", F.col("contig"))
     obs = cut(observations(reads, loci, options), "observations")
     rows = cut(one_per_read(obs, loci, options), "reads")
     rows = cut(assigned_reads(rows, loci, options), "assigned")

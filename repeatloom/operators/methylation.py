@@ -33,3 +33,12 @@ def allele_methylation(reads: DataFrame, keys: list[str]) -> DataFrame:
     return reads.groupBy(*keys).agg(
         F.avg("frac").alias("meth_mean"), F.when(valid > 0, F.sum("n_mod") / valid).alias("pooled"), F.avg("hydroxy_frac").alias("hydroxy"), F.avg("fail").alias("fail_frac"), F.avg(enough).alias("gt50")
     )
+
+
+def by_unit(reads: DataFrame, keys: list[str], sites: str = "cpg_5mc", unit_len: str = "unit_len") -> DataFrame:
+    """Mean methylation of each repeat unit from ``offset:percent`` lists: keys, unit, n, mean."""
+    pairs = F.filter(F.split(sites, ","), lambda x: F.contains(x, F.lit(":")))
+    one = reads.select(*keys, unit_len, F.explode(pairs).alias("_s"))
+    part = F.split("_s", ":")
+    unit = F.floor(part[0].cast("int") / F.col(unit_len)).cast("int")
+    return one.select(*keys, unit.alias("unit"), (part[1].cast("double") / 100).alias("p")).groupBy(*keys, "unit").agg(F.count("*").alias("n"), F.avg("p").alias("mean"))

@@ -283,3 +283,16 @@ def gmm_alleles(spark, sf_dir) -> DataFrame:
     cells = stats.histogram(calls(spark, sf_dir), ["locus"], "units").withColumns({"hp": F.lit(0), "ploidy": F.lit(2)})
     assigned = assign_alleles(cells, S.Options(use_hp=False))
     return assigned.where("allele >= 0").groupBy("locus", "allele", "median", "method").agg(F.sum("n").alias("support"))
+
+
+@query(
+    f"""with {CALLS}, {LOCI}, s as (select locus, unnest([cast(units as bigint), cast(units as bigint) * 2, 3]) as off, cast(round(meth * 100) as bigint) as pct from calls)
+    select s.locus, cast(floor(s.off / cast(l.unit_len as double)) as int) as unit, count(*) as n, round(avg(s.pct / cast(100 as double)), 6) as mean from s join loci l using (locus) group by s.locus, cast(floor(s.off / cast(l.unit_len as double)) as int)"""
+)
+def methylation_by_unit(spark, sf_dir) -> DataFrame:
+    from ..operators.methylation import by_unit
+
+    u, pct = F.col("units").cast("long"), F.round(F.col("meth") * 100).cast("long")
+    listed = F.concat_ws(",", *[F.concat_ws(":", off.cast("string"), pct.cast("string")) for off in (u, u * 2, F.lit(3))])
+    rows = calls(spark, sf_dir).select("locus", listed.alias("cpg_5mc")).join(loci(spark, sf_dir).select("locus", "unit_len"), "locus")
+    return by_unit(rows, ["locus"]).select("locus", "unit", "n", F.round("mean", 6).alias("mean"))

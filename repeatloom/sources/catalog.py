@@ -183,3 +183,18 @@ def unknown_keys(loci: DataFrame, keys: list[str]) -> list[str]:
 def bed(loci: DataFrame, flank: int = 0) -> DataFrame:
     """contig, start, end, name, ord: padded intervals, starts not below 0."""
     return loci.select("contig", F.greatest(F.col("start_pos") - flank, F.lit(0)).alias("start"), (F.col("end_pos") + flank).alias("end"), F.col("id").alias("name"), "ord")
+
+
+def resolve_contigs(loci: DataFrame, contigs: DataFrame) -> DataFrame:
+    """Loci with ``found_contig``: their contig in the alignment's naming - as it is, with or
+    without chr, or the mitochondrion's other name - or null where the header has none.
+
+    contigs: ``contig``, a row for each in the header (a few thousand at most).
+    """
+    c = F.col("contig")
+    other = F.when(c.startswith("chr"), F.expr("substr(contig, 4)")).otherwise(F.concat(F.lit("chr"), c))
+    mito = F.when(c == "chrM", "MT").when(c == "MT", "chrM")
+    for k, name in enumerate((c, other, mito)):
+        known = F.broadcast(contigs.select(F.col("contig").alias(f"_c{k}")).distinct())
+        loci = loci.join(known, name == F.col(f"_c{k}"), "left")
+    return loci.withColumn("found_contig", F.coalesce("_c0", "_c1", "_c2")).drop("_c0", "_c1", "_c2")

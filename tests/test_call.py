@@ -81,6 +81,24 @@ def test_partitioning_changes_nothing(spark, loci, called):
     assert sorted(map(str, again.collect())) == sorted(map(str, called["loci"].collect()))
 
 
+def test_contig_names(spark, loci):
+    named = spark.createDataFrame([("1",), ("MT",), ("chrT",)], "contig string")
+    some = spark.createDataFrame([("chr1",), ("chrM",), ("T",), ("chr9",)], "contig string")
+    found = {x.contig: x.found_contig for x in catalog.resolve_contigs(some, named).collect()}
+    assert found == {"chr1": "1", "chrM": "MT", "T": "chrT", "chr9": None}
+    bare = spark.createDataFrame(reads(), S.READS).withColumn("contig", F.lit("T"))
+    rows = {r.id: r for r in call(bare, loci, S.Options(), "s", spark.createDataFrame([("T",)], "contig string"))["loci"].collect()}
+    assert rows["FXS_FMR1"].n_spanning == 18 and rows["EMPTY"].notes == "contig chrU not in the alignment"
+
+
+def test_functions_in_sql(spark):
+    from repeatloom.functions import udfs
+
+    udfs.register(spark)
+    r = spark.sql("select repeat_run('ACGTTAGCAGCAGCAGCAGTTGACAT', array('CAG')) a, repeat_run(null, array('CAG')) b, competing_period(repeat('AAAGGG', 200), 5, array(6)) c, mod_sites('ACGCGTCCA', false, 'C+m,0,1;', array(10, 200)) d").first()
+    assert (r.a.start, r.a.n_units, r.b.n_units, r.c, [x.qpos for x in r.d]) == (5, 4, None, 6, [1, 6])
+
+
 def test_homozygote_is_given_twice(spark, loci):
     some = [r for r in reads() if r[1].startswith("n")]
     r = call(spark.createDataFrame([(*x[:8], 0, *x[9:]) for x in some], S.READS), loci)["loci"].where("id = 'FXS_FMR1'").first()

@@ -37,7 +37,6 @@ SMALL, BLOCK = 64, 256
 #: deviations under a similarity of 0.8.
 AGREE = 0.61
 PERCENT = 80
-_WORD_CACHE = 500_000
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _MUL = (_RNG.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32) | np.uint32(1))[:, None]
@@ -45,17 +44,6 @@ _ADD = _RNG.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32)[:, None]
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _WORD_CACHE:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
-
-
-_HASHES = _WordHashes()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
     x = (x ^ (x >> np.uint64(28))) * np.uint64(0xD6E8FEB86659FD93)
@@ -73,7 +61,7 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if len(words) < width:
         return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     n = len(words) - width + 1
     total = np.zeros(n, np.uint64)
     for k in range(width):

@@ -55,3 +55,15 @@ def free_name(columns: list[str], base: str) -> str:
     while base.lower() in taken:
         base += "_"
     return base
+
+
+_HELD: dict = {}
+
+
+def held(key, make):
+    """A worker process's one large object, kept between tasks; asking for another drops it,
+    so the caches of operators that share executors do not add up."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, held, table
 
 WINDOW = 8
 #: Benchmark text (bytes) that one automaton holds; more text is scanned in further passes.
@@ -106,8 +106,6 @@ def spans_of(text: str, intervals: list[list[int]]) -> list[tuple[int, int]]:
     return out
 
 
-_AUTOMATA: dict[str, Automaton] = {}
-
 _HITS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -116,10 +114,7 @@ def _scanner(items: list[tuple[str, str]], window: int):
     key = hashlib.sha256(repr((window, items)).encode("utf-8", "surrogatepass")).hexdigest()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _AUTOMATA:
-            _AUTOMATA.clear()
-            _AUTOMATA[key] = Automaton(items, window)
-        automaton = _AUTOMATA[key]
+        automaton = held(("automaton", key), lambda: Automaton(items, window))
         for batch in batches:
             texts = batch.column("text").to_pylist()
             before = batch.column("_hits").to_pylist(), batch.column("_items").to_pylist()

@@ -12,6 +12,8 @@ import re
 
 import numpy as np
 
+from .common import held
+
 #: ASCII without control characters (but tab, line feed, carriage return), Latin-1 and
 #: Latin Extended-A without the dotted capital I, and common punctuation.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ž‐-‧‰-⁞€]*")
@@ -44,14 +46,9 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, _WORD.findall(text.lower())))
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """One per worker process and vocabulary file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    return held(("encoder", path), lambda: Encoder(path))
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, held, table
 
 #: Labelled rows that are learnt from at most, those of smallest hash of their ids.
 LEARN_ROWS = 12_000
@@ -194,9 +194,13 @@ def _keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.string()), "toxic": pa.array(toxic, pa.int64())})
 
 
+def _tokens(lexicon: dict[str, float]) -> Tokens:
+    return held(("tokens", hash(tuple(sorted(lexicon.items())))), lambda: Tokens(lexicon))
+
+
 def _measure(lexicon: dict[str, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(lexicon)
+        tokens = _tokens(lexicon)
         for batch in batches:
             x = [features(text.as_py() or "", tokens) for text in batch.column(0)]
             yield pa.RecordBatch.from_pydict({"toxic": batch.column(1), "part": batch.column(2), "x": pa.array(x, pa.list_(pa.float64()))})
@@ -235,7 +239,7 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
-        tokens = Tokens(known.lexicon)
+        tokens = _tokens(known.lexicon)
         for batch in batches:
             x = np.array([features(t.as_py() or "", tokens) for t in batch.column("_text")], float).reshape(batch.num_rows, len(FEATURES))
             s = known.score(x)

@@ -8,8 +8,8 @@ document's shingles, so 80 permutations fill 32 bands of 5 values; at a similari
 2. Each band bucket has a leader. Members are compared with it on full sets, and
    the links found join nodes into components: one large group of close copies costs
    as many comparisons as it has members.
-3. Buckets that still hold several components are compared inside, in blocks of at most
-   ``BLOCK`` members. A pair is taken up in the first band that it shares, if it lies
+3. Buckets that still hold several components are compared inside, in blocks of about
+   ``BLOCK`` members and ``BLOCK_BYTES`` of text. A pair is taken up in the first band that it shares, if it lies
    across components and its signatures agree well enough; buckets above ``SMALL``
    members are confirmed where they are compared, which emits one link for each merge.
 
@@ -27,12 +27,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, held, table
 from .graph import connected_components
 
 BANDS, ROWS = 32, 5
 PERMUTATIONS = BANDS * ROWS // 2
 SMALL, BLOCK = 64, 256
+#: Bytes of text in a block, about; very long texts make smaller blocks.
+BLOCK_BYTES = 16_000_000
 #: Share of equal signature values below which a pair is not confirmed: six standard
 #: deviations under a similarity of 0.8.
 AGREE = 0.61
@@ -96,6 +98,7 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 def _sketch(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("near_dedup", dict)  # other operators' caches go
         for batch in batches:
             n, digests, keys, sigs = [], [], [], []
             for text in batch.column(1):
@@ -136,7 +139,7 @@ def _confirm(width: int, percent: int):
         def of(node: bytes, text: str) -> np.ndarray:
             if node not in kept:
                 kept[node] = shingle_set(text, width)
-                if len(kept) > 64:
+                if len(kept) > 16:
                     kept.popitem(last=False)
             return kept[node]
 
@@ -267,11 +270,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, id_
     pairs = small.repartition(*group).sortWithinPartitions(*group).mapInArrow(_candidates, "a binary, b binary, ra binary, rb binary").distinct()
     pairs = cut(pairs, "pairs")
     links = confirmed(pairs.select("a", "b")).join(pairs, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    big = open_.where(f"n > {SMALL}")
+    weights = big.select("bucket", "node").join(texts.select("node", F.octet_length("text").alias("bytes")), "node").groupBy("bucket").agg(F.sum("bytes").alias("bytes"))
     large = (
-        open_.where(f"n > {SMALL}")
-        .join(texts, "node")
-        .withColumn("blocks", F.ceil(F.col("n") / BLOCK))
+        big.join(weights, "bucket")
+        .withColumn("blocks", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)))
         .withColumn("block", F.expr("cast(pmod(xxhash64(node, bucket), blocks) as int)"))
+        .join(texts, "node")
         .withColumn("other", F.explode(F.expr("sequence(0, cast(blocks - 1 as int))")))
         .withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
         .select(*columns, "text")

@@ -13,6 +13,7 @@ from .. import schema as S
 from ..functions import classify as C
 from ..functions import text as X
 from ..kernels import alleles as K
+from ..storage import cut
 from . import stats
 
 #: Loci whose mixtures are fitted at once.
@@ -92,7 +93,7 @@ def locus_table(calls: DataFrame, loci: DataFrame, options: S.Options = S.Option
     thresholds, bands, unit_len, ploidy.
     """
     cells = stats.histogram(calls.where("exact"), ["locus", "hp"], "units").join(loci.select("locus", "ploidy"), "locus")
-    assigned = assign_alleles(cells, options)
+    assigned = cut(assign_alleles(cells, options), "assigned")  # read three times below
     alleles = double_homozygotes(summarise(assigned).join(loci.select("locus", "ploidy"), "locus"), F.col("ploidy"))
     thresholds = [F.col(c) for c in ("bmin", "bmax", "imin", "imax", "pmin", "pmax")]
     alleles = alleles.join(loci.select("locus", "bands", *thresholds), "locus").withColumn("cls", C.classify(F.col("median_measured"), F.col("bands"), *thresholds))

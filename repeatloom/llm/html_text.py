@@ -57,9 +57,9 @@ def _is_other(tag: str, attributes: str, inside: bool) -> bool:
     return bool(_HIDDEN.search(attributes))
 
 
-def blocks_of(page: str) -> tuple[list[str], list[bool], list[bool], bool]:
+def blocks_of(page: str) -> tuple[list[str], list[bool], list[bool]]:
     """Lines of a page in order; whether each is inside an article, and inside another
-    declared part; whether the page has an article with text."""
+    declared part."""
     lines: list[str] = []
     inside_: list[bool] = []
     other_: list[bool] = []
@@ -137,7 +137,7 @@ def blocks_of(page: str) -> tuple[list[str], list[bool], list[bool], bool]:
         article = article or (tag in ("article", "main") and not other)
         stack.append((tag, article, other))
     end_line()
-    return lines, inside_, other_, any(a and not o for a, o in zip(inside_, other_))
+    return lines, inside_, other_
 
 
 def common_lines(a: list[str], b: list[str]) -> set[int]:
@@ -179,11 +179,11 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
 
 
 def main_text(page: tuple, neighbours: list[tuple]) -> str:
-    lines, inside, other, has_article = page
+    lines, inside, other = page
     shared: set[int] = set()
     for n in neighbours:
         shared |= common_lines(lines, n[0])
-    return "\n".join(x for k, x in enumerate(lines) if not other[k] and (inside[k] if has_article else k not in shared))
+    return "\n".join(x for k, x in enumerate(lines) if not other[k] and (inside[k] or k not in shared))
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

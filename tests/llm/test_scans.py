@@ -125,6 +125,12 @@ def test_html_difference_without_article(spark):
     assert sum(t == f"Body {k}\nMore {k}" for k, t in got.items()) >= 3  # a page alone in its range keeps its lines
 
 
+def test_html_difference_beside_an_article():
+    page = "<body><div>Menu</div><div id=content><p>Body {k}</p></div><article>Teaser {k}<p>Quote</p></article><p>Continued {k}</p><nav>Go {k}</nav><div>Bye</div></body>"
+    before, now, after = (H.blocks_of(page.format(k=k)) for k in range(3))
+    assert H.main_text(now, [before, after]) == "Body 1\nTeaser 1\nQuote\nContinued 1"
+
+
 def test_common_lines_are_a_longest_subsequence():
     r = random.Random(6)
     for _ in range(200):

@@ -31,9 +31,12 @@ OUTER_OTHER = frozenset(["header"])
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alertdialog alert".split())
 #: Words of class and id values.
 MARKS = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar aside footer header masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments respond replies disqus widget pagination pager copyright skip".split())
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.S)
-_MARK = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_TOKEN = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b")
+_ENDS = {tag: re.compile(rf"</{tag}(?:[\s/][^>]*)?>", re.I) for tag in RAW}
+#: Raw elements that, left open, run to the page's end; of others the tag alone is passed over.
+TO_END = frozenset("script style iframe textarea title xmp noembed noframes".split())
 _PART = re.compile(r"[^a-z0-9]+")
 CLOSES_P = BLOCK - {"button", "body", "html", "head", "option"}
 
@@ -43,18 +46,19 @@ def _is_other(tag: str, attributes: str, inside: bool) -> bool:
         return True
     if not attributes or tag in ("html", "body"):
         return False
-    for m in _MARK.finditer(attributes):
-        value = (m[2] or m[3] or m[4] or "").lower()
-        if m[1].lower() == "role":
-            if value.strip() in ROLES:
-                return True
-        elif tag not in ("article", "main") or not inside:
-            words = {w for w in _PART.split(value) if w}
+    named: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attributes):
+        named.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
+    if named.get("role", "").strip() in ROLES:
+        return True
+    if tag not in ("article", "main") or not inside:
+        for name in ("class", "id"):
+            words = {w for w in _PART.split(named.get(name, "")) if w}
             if words & MARKS and not words & {"article", "content", "main", "post", "body", "entry"} - ({"post"} if "comment" in words else set()):
                 return True
             if words & {"comment", "comments", "advert", "sidebar"}:
                 return True
-    return bool(_HIDDEN.search(attributes))
+    return named.get("hidden", "false").strip() != "false" or named.get("aria-hidden", "").strip() == "true" or bool(_NO_DISPLAY.search(named.get("style", "")))
 
 
 def blocks_of(page: str) -> tuple[list[str], list[bool], list[bool]]:
@@ -65,8 +69,9 @@ def blocks_of(page: str) -> tuple[list[str], list[bool], list[bool]]:
     other_: list[bool] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, in an article, in another part
     text: list[str] = []
-    raw = ""
+    endless: set[str] = set()  # raw elements without a further end tag
     article = other = False
+    at = 0
 
     def end_line() -> None:
         if text:
@@ -77,21 +82,17 @@ def blocks_of(page: str) -> tuple[list[str], list[bool], list[bool]]:
                 inside_.append(article)
                 other_.append(other)
 
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.match(page, at):
+        at = m.end()
         tag = m[2]
         if tag is None:
-            if not raw:
-                piece = m[0]
-                if piece[0] != "<" or piece == "<":
-                    text.append(piece)
-                elif piece.startswith("<![CDATA["):
-                    text.append(html.escape(piece[9:-3], quote=False))
+            piece = m[0]
+            if piece[0] != "<" or piece == "<":
+                text.append(piece)
+            elif piece.startswith("<![CDATA["):
+                text.append(html.escape(piece[9:-3], quote=False))
             continue
         tag = tag.lower()
-        if raw:
-            if m[1] and tag == raw:
-                raw = ""
-            continue
         if m[1]:
             if tag in BLOCK:
                 end_line()
@@ -107,7 +108,12 @@ def blocks_of(page: str) -> tuple[list[str], list[bool], list[bool]]:
             if tag in BLOCK:
                 end_line()
             if not m[3].rstrip().endswith("/"):
-                raw = tag
+                end = None if tag in endless else _ENDS[tag].search(page, at)
+                if end:
+                    at = end.end()
+                else:
+                    endless.add(tag)
+                    at = len(page) if tag in TO_END else at
             continue
         if tag == "br":
             text.append(" ")

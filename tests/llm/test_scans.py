@@ -131,6 +131,17 @@ def test_html_difference_beside_an_article():
     assert H.main_text(now, [before, after]) == "Body 1\nTeaser 1\nQuote\nContinued 1"
 
 
+@pytest.mark.parametrize("before", ["<script>for(var i=0;i<n;i++){f(i)}</script>", "<script>a='<!--'</script>", "<style>/* <!-- */ p::before{content:'<b'}</STYLE >", "<title>a <b</title>", "<svg><path d='M0'></svg>", "<object>", "<!-->"])
+def test_html_raw_elements_end_at_their_tag(before):
+    lines, inside, other = H.blocks_of(f"<body>{before}<article><p>Whole text</p></article></body>")
+    assert (lines, inside, other) == (["Whole text"], [True], [False])
+
+
+@pytest.mark.parametrize("attributes, other", [('style="overflow:hidden"', False), ('class="x-hidden-print"', False), ('data-href="/hidden-gems"', False), ("data-id=menu", False), ('title="a hidden b"', False), ("hidden=false", False), ("hidden", True), ('HIDDEN=""', True), ("aria-hidden='true'", True), ('aria-hidden="false"', False), ('style="color:red; display : none"', True), ('data-style="display:none"', False), ("role=alert", True), ('id="comments"', True)])
+def test_html_hidden_is_an_attribute(attributes, other):
+    assert H.blocks_of(f"<article {attributes}><p>Text</p></article>")[1:] == ([not other], [other])
+
+
 def test_common_lines_are_a_longest_subsequence():
     r = random.Random(6)
     for _ in range(200):

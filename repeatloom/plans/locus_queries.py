@@ -272,6 +272,8 @@ def methylation_pooled(spark, sf_dir) -> DataFrame:
     from rank r left join lab l on l.locus = r.locus and l.h = r.hp group by r.locus, r.allele, r.centre, r.hp"""
 )
 def hp_alleles(spark, sf_dir) -> DataFrame:
+    """The branch of haplotype tags alone, as its SQL has it: the least support, twice a locus's
+    reads, keeps the test for an allele that the tags miss from ever passing."""
     cells = stats.histogram(calls(spark, sf_dir), ["locus", "hp"], "units")
     good = cells.where("hp > 0").groupBy("locus", "hp").agg(F.sum("n").alias("r")).where("r >= 3").groupBy("locus").count().where("count = 2").select("locus")
     assigned = assign_alleles(cells.join(good, "locus", "left_semi").withColumn("ploidy", F.lit(2)), S.Options(min_frac=2.0))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import schema as S
 from ..functions import text as X
 from ..operators.call import formatted, locus_table
 from ..sinks import vcf
@@ -31,7 +30,7 @@ def _called(spark, sf_dir) -> DataFrame:
     """Tagged calls are spanning reads, untagged ones partial reads."""
     c = calls(spark, sf_dir).select("locus", "units", "hp", (F.col("hp") > 0).alias("exact"))
     diploid = loci(spark, sf_dir).withColumn("ploidy", F.lit(2))
-    return locus_table(c, diploid, S.Options(min_frac=2.0))
+    return locus_table(c, diploid)
 
 
 @query()

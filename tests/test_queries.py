@@ -48,6 +48,15 @@ def test_query(spark, duck, name):
         assert got == sorted(repr([plain(r[k]) for k in at]) for r in rel.fetchall())
 
 
+def test_loci_without_two_tagged_haplotypes_get_two_alleles(spark, tmp_path):
+    read = lambda locus, units, flag: (locus, float(units), flag, "F", 0.0, 0.0)
+    rows = [read(1, u, "A") for u in (10, 10, 11, 10, 40, 41, 40, 40)] + [read(2, u, f) for u, f in ((10, "A"), (10, "A"), (10, "A"), (30, "R"), (30, "R"), (30, "R"))]
+    spark.createDataFrame(rows, "l_partkey long, l_quantity double, l_returnflag string, l_linestatus string, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, "b", 7) for k in (1, 2)], "p_partkey long, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = {x.locus: (x.method, x.a1_median, x.a2_median, x.a1_support, x.a2_support) for x in registry.QUERIES["loci_table"](spark, str(tmp_path)).collect()}
+    assert got == {"L1": ("GMM", "10.0", "40.0", "4", "4"), "L2": ("HP", "10.0", "30.0", "3", "3")}
+
+
 def test_interval_joins_agree(spark):
     r = random.Random(1)
     make = lambda n: [(r.choice("ab"), s, s + r.randint(0, 300)) for s in (r.randint(0, 5000) for _ in range(n))]

@@ -189,6 +189,21 @@ def test_neighbours_in_blocks(spark, monkeypatch):
     assert len(got) == len(want) and sum(g[:3] == w[:3] for g, w in zip(got, want)) >= 0.9 * len(want)
 
 
+@pytest.mark.parametrize("rows, dimension, block", [(6, 64, 4096), (20, 64, 4096), (300, 256, 32), (40, 64, 8)])
+def test_neighbours_of_few_or_long_vectors(spark, monkeypatch, rows, dimension, block):
+    """All candidates, where there are few of them or probes would cover too few buckets."""
+    r = np.random.default_rng(6)
+    vectors = [(50 * k if k < 8 else 50 * k + 1, r.normal(size=dimension).tolist()) for k in range(rows)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(A, "BLOCK", block)
+    got = sorted((x.query_id, x["rank"], x.vec_id) for x in A.nearest_neighbours(df, df.where("vec_id % 50 = 0"), probes=1 if block == 8 else A.PROBES).collect())
+    want = sorted((q, k + 1, i) for q, best in brute_nearest(vectors).items() for k, (i, _) in enumerate(best))
+    if block == 8:  # hashed: only those that find too few are compared with all
+        assert [x[:2] for x in got] == [x[:2] for x in want]
+    else:
+        assert got == want
+
+
 def test_few_candidates(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [1e200, 1e200])], "vec_id long, embedding array<double>")
     got = sorted(tuple(x) for x in A.nearest_neighbours(df, df.where("vec_id = 0")).collect())

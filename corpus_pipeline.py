@@ -10,6 +10,8 @@ from repeatloom.llm.common import DOCUMENT_COLUMNS, new_path, table
 
 #: A document is dropped when this share of its words lies in benchmark passages.
 HIT_SHARE = 0.5
+#: A line goes when it is on more than this share of its source's pages; op1's own ratio is that of its SQL.
+LINE_RATIO = 0.01
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +22,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their source's boilerplate lines."""
-    found = line_dedup.drop_boilerplate(docs)
+    found = line_dedup.drop_boilerplate(docs, LINE_RATIO)
     return found.withColumn("n_chars", F.length("text").cast("long")).select(*DOCUMENT_COLUMNS)
 
 

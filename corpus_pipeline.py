@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repeatloom.llm import decontaminate, line_dedup, near_dedup, packing, toxicity
-from repeatloom.llm.common import DOCUMENT_COLUMNS, new_path, table
+from repeatloom.llm.common import DOCUMENT_COLUMNS, cut, new_path, table
 
 #: A document is dropped when this share of its words lies in benchmark passages.
 HIT_SHARE = 0.5
@@ -27,9 +27,19 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest id."""
-    kept = near_dedup.near_duplicates(docs, width=5).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*DOCUMENT_COLUMNS)
+    """One row of each group of near duplicates, of the smallest id (null last).
+
+    Ids may repeat, so rows are known by a hash of id and text. Rows that share it are
+    copies, of which one stays; only hashes on several rows are brought together.
+    """
+    keyed = docs.select(*DOCUMENT_COLUMNS, F.xxhash64("doc_id", "text").alias("_key"))
+    found = near_dedup.near_duplicates(keyed, width=5, id_column="_key").groupBy("_key").agg(F.min("component_id").alias("group"))
+    rows = keyed.groupBy("_key").agg(F.min("doc_id").alias("id"), F.count("*").alias("_rows"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_key", "_rows")).alias("first")
+    kept = cut(found.join(rows, "_key").groupBy("group").agg(first).select("first._key", "first._rows"), "kept")
+    single = keyed.join(kept.where("_rows = 1"), "_key", "left_semi").select(*DOCUMENT_COLUMNS)
+    copies = keyed.join(kept.where("_rows > 1"), "_key", "left_semi").groupBy("_key").agg(F.min(F.struct(*DOCUMENT_COLUMNS)).alias("row"))
+    return single.unionByName(copies.select("row.*"))
 
 
 def decontaminate_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

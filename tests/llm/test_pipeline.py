@@ -9,3 +9,11 @@ def test_lines_on_a_fiftieth_of_the_pages_go(spark):
     rows = [(k, f"own {k}" + ("\nAll rights reserved." if k % 50 == 0 else "") + ("\nfour times" if k % 75 == 1 else ""), "en", "a", 0) for k in range(300)]
     got = {x.doc_id: (x.text, x.n_chars) for x in P.drop_lines(spark, spark.createDataFrame(rows, DOCS), "").collect()}
     assert got[50] == ("own 50", 6) and got[76] == ("own 76\nfour times", 17) and len(got) == 300
+
+
+def test_one_row_of_each_group_stays(spark):
+    long = [" ".join(f"{w}{k}" for k in range(60)) for w in "abcd"]
+    rows = [(5, long[0]), (5, long[0]), (3, long[0]), (3, long[1]), (2, long[1]), (7, long[2]), (7, long[2]), (None, long[2]), (None, long[3]), (9, ""), (9, ""), (10, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
+    got = sorted(((x.doc_id, x.text) for x in P.keep_one(spark, df, "").collect()), key=str)
+    assert got == sorted([(3, long[0]), (2, long[1]), (7, long[2]), (None, long[3]), (9, ""), (10, "")], key=str)

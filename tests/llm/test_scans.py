@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -118,11 +119,81 @@ def test_html_article(spark):
     assert H.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
-def test_html_difference_without_article(spark):
-    page = "<body><div>Menu</div><div>Sign up now</div><p>Body {k}</p><p>More {k}</p><div>Bye</div></body>"
-    rows = [(k, f"http://c.example/p/{k}", page.format(k=k)) for k in range(5)]
-    got = {x.page_id: x.text for x in H.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()}
-    assert sum(t == f"Body {k}\nMore {k}" for k, t in got.items()) >= 3  # a page alone in its range keeps its lines
+def longest(a, b):
+    """Indices of ``a`` in a longest common subsequence, by the table."""
+    n = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            n[i + 1][j + 1] = n[i][j] + 1 if x == y else max(n[i][j + 1], n[i + 1][j])
+    found, i, j = set(), len(a), len(b)
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            i, j = i - 1, j - 1
+            found.add(i)
+        elif n[i - 1][j] >= n[i][j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return found
+
+
+def brute_pages(rows):
+    """Texts of pages whose lines are distinct (so that the subsequence is unique)."""
+    def key(r):
+        host, path = re.match(r"(?:http://([^/?#]*))?([^?#]*)", r[1] or "").groups()
+        return host or "", path, r[1] or "", r[0] is not None, r[0] or 0, H.blocks_of(r[2] or "")
+
+    order, out = sorted(rows, key=key), []
+    for k, r in enumerate(order):
+        host, *_, (lines, inside, other) = key(r)
+        shared = set()
+        for others in (order[k - 1 :: -1] if k else [], order[k + 1 :]):
+            near = next((x for x in others if key(x)[0] != host or key(x)[-1] != key(r)[-1]), None)
+            if near and key(near)[0] == host:
+                shared |= longest(lines, key(near)[-1][0])
+        out.append((r[0], r[1], "\n".join(x for i, x in enumerate(lines) if not other[i] and (inside[i] or i not in shared))))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("parts", [1, 3, 8])
+def test_html_difference_equals_brute_force(spark, parts):
+    r = random.Random(9)
+    rows = []
+    for k in range(120):
+        template = ["<div>Menu</div>", "<div>Sign up now</div>", f"<p>Body {k}</p>", f"<article><p>Quote</p><p>Own {k}</p></article>", f"<p>More {k}</p>", "<nav>Go</nav>", "<p>Bye</p>"]
+        rows.append((k, f"http://{r.choice('abbbbb')}.example/{r.randint(0, 30)}/{k % 7}?k={k}", "".join(x for x in template if r.random() < 0.8)))
+    rows += [rows[5]] * 40 + [(500 + k, rows[7][1] + "#x", rows[7][2]) for k in range(9)] + [(900, None, "<p>no url"), (None, None, "<p>no url<p>nor id"), (901, "http://alone.example/", "<p>Alone"), (902, "http://b.example/", None)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = sorted(((x.page_id, x.url, x.text) for x in H.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == brute_pages(rows)
+
+
+@pytest.mark.parametrize("page", ["<a " * 200_000, "<a '" * 200_000 + ">", "<a \"'>" * 200_000, "</script " * 200_000, "<script>" + "</script " * 200_000, "<![CDATA[" * 100_000, "<!--" * 100_000, "<!x" * 100_000, "<b>" * 100_000 + "<p>" * 100_000 + "</i>" * 100_000, "<li><div>" * 60_000, "&amp" * 100_000, "x < y " * 200_000])
+def test_html_time_is_linear(page):
+    began = time.perf_counter()
+    H.blocks_of(page)
+    assert time.perf_counter() - began < 5
+
+
+def test_html_text_elements_of_an_article_keep_their_class():
+    page = "<article><h2 class='section-header'>Part</h2><p class=notice>Mind</p><div class=notice>Cookies</div><p>5 < 6 <b>and</b> <![CDATA[a<b]]></p></article>"
+    lines, inside, other = H.blocks_of(page)
+    assert [x for x, o in zip(lines, other) if not o] == ["Part", "Mind", "5 < 6 and a<b"] and all(inside)
+
+
+def test_common_lines_of_long_pages(monkeypatch):
+    r = random.Random(10)
+    a, b = ([r.choice("abcdefgh") for _ in range(r.randint(80, 120))] for _ in range(2))
+    whole = H.common_lines(a, b)
+    monkeypatch.setattr(H, "TABLE_BITS", 50)
+    parts = H.common_lines(a, b)
+    assert len(parts) == len(whole) == len(longest(a, b))
+    it = iter(b)
+    assert all(any(a[k] == y for y in it) for k in sorted(parts))
 
 
 def test_html_difference_beside_an_article():

@@ -91,16 +91,48 @@ def test_secrets(spark):
         assert set(filter(None, found[i].base.split(","))) <= set(found[i].spans.split(","))
     assert found[905].spans == f"format:4:{4 + len(bare)}"  # a credential's format without its context
     assert sum("format" in found[k].spans for k in range(150)) == 0
+    assert {s.score > 0 for x in S.find_secrets(df).collect() for s in x.base if len(s.value) > 17} == {True}
     assert S.find_secrets(df.limit(0)).count() == 0
     assert S.base_digest([]) == hashlib.sha256(b"").hexdigest()
 
 
 def test_automaton_learns_a_format():
     r = random.Random(4)
-    word = lambda: "key-" + "".join(r.choice("01") for _ in range(r.randint(8, 12)))
-    a = S.Automaton([S.shape(word()) for _ in range(200)])
-    assert len(a.states) < 60
-    assert a.score(S.shape(word())) > a.score(S.shape("internationally")) + 5
+    word = lambda n: "key-" + "".join(r.choice("0123456789abcdef") for _ in range(n))
+    a = S.Automaton([word(r.randint(8, 12)) for _ in range(300)])
+    assert 12 <= len(a.states) <= 40  # four literal steps, and the lengths told apart
+    score = lambda w: a.score(S.shape(w))
+    assert score(word(10)) > score("internationally") + 5 and score(word(10)) > score(word(10)[1:]) + 5
+    assert score(word(12)) > score(word(13)) + 5 and score(word(8)) > score(word(7)) + 3
+    total = sum(np.exp(score("key-" + "a" * n)) * 16**n for n in range(0, 14))
+    assert 0.9 < total < 1.01  # probabilities of all words of the format sum to one
+
+
+def test_automaton_merges_what_agrees():
+    r = random.Random(5)
+    a = S.Automaton(["x" * (4 + int(r.expovariate(0.2))) for _ in range(400)])  # any length goes on alike
+    assert len(a.states) < 12
+    tree = S.Automaton(["x" * (4 + int(r.expovariate(0.2))) for _ in range(400)], alpha=1.9999)
+    assert len(tree.states) > len(a.states)
+
+
+def test_held_out_credentials_without_context():
+    r = random.Random(6)
+    made = [secret(r, "hex") for _ in range(300)] + ["AKIA" + "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(16)) for _ in range(300)]
+    words = ["".join(r.choice(["tion", "er", "and", "schl", "ung", "ment", "re"]) for _ in range(r.randint(3, 8))) for _ in range(4000)] + [str(r.randint(10**15, 10**16)) for _ in range(50)] + [f"555-{r.randint(1000, 9999)}" for _ in range(50)]
+    f = S.Formats([(2 if x[0] != "A" else 1, x) for x in made[:200] + made[300:500]], S.pair_counts(words), 400)
+    held_out = made[200:300] + made[500:]
+    assert np.mean([f.is_credential(x, f.ratio(x)) for x in held_out]) >= 0.9
+    assert not any(f.is_credential(x, f.ratio(x)) for x in words)
+
+
+@pytest.mark.parametrize("text", [("a" * 40 + " ") * 50_000, "token = " * 300_000, "x" * 3_000_000, "password" + " " * 2_000_000, "AKIA" * 500_000, "word.word " * 300_000])
+def test_secret_scan_time_is_linear(text):
+    began = time.perf_counter()
+    spans = S.scan_text(text)
+    for _ in S.candidates(text, spans):
+        pass
+    assert time.perf_counter() - began < 5
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="</p>";</script></head><body>

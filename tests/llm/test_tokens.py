@@ -183,7 +183,10 @@ def test_neighbours_in_blocks(spark, monkeypatch):
     vectors = [(k, (np.ones(16) + 0.01 * r.normal(size=16)).tolist()) for k in range(300)]
     df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
     monkeypatch.setattr(A, "BLOCK", 32)
-    monkeypatch.setattr(A, "CHUNK_ROWS", 500)
+    monkeypatch.setattr(A, "SPLIT", 20)
+    monkeypatch.setattr(A, "ASKED", 2)
+    monkeypatch.setattr(A, "CHUNK_ROWS", 50)
+    monkeypatch.setattr(A, "_PAIRS", 70)
     got = sorted(tuple(x) for x in A.nearest_neighbours(df, df.where("vec_id % 50 = 0")).collect())
     want = sorted((q, k + 1, i, s) for q, best in brute_nearest(vectors).items() for k, (i, s) in enumerate(best))
     assert len(got) == len(want) and sum(g[:3] == w[:3] for g, w in zip(got, want)) >= 0.9 * len(want)

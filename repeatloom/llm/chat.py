@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import read
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Ids beyond the vocabulary; each renders as the string beside it.
@@ -212,5 +212,5 @@ def digests(assembled: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
 def op5_chat_formatting(spark, sf_dir: str) -> DataFrame:
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
     return digests(assemble(format_turns(turns)))

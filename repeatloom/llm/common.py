@@ -13,17 +13,28 @@ from pyspark.sql import functions as F
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for Python kernels: if it is read by at most half as many tasks as there are
+    cores, its rows are dealt to all of them."""
+    df = read(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (local tests) a temporary folder is made.
+    Where the setting is absent a temporary folder is made, in local mode only: on a
+    cluster a folder of one machine would lose data.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         kept = getattr(spark.sparkContext, "_repeatloom_dir", None)
         if kept is None:
             kept = tempfile.mkdtemp(prefix="repeatloom-")
@@ -45,10 +56,6 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sha256_hex(column):
-    return F.sha2(column.cast("binary"), 256)
-
-
 def free_name(columns: list[str], base: str) -> str:
     """``base``, lengthened until no column has that name (Spark ignores case)."""
     taken = {c.lower() for c in columns}

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, table
+from .common import cut, free_name, read
 
 RATIO, LEAST = 0.1, 5
 
@@ -59,7 +59,7 @@ def drop_boilerplate(docs: DataFrame, ratio: float = RATIO, least: int = LEAST,
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return drop_boilerplate(docs).select("doc_id", "n_dropped", "text")
 
 

@@ -138,6 +138,23 @@ def test_shards_round_trip(spark, tmp_path):
     assert M.write_shards(df.limit(0)).count() == 0
 
 
+def test_training_order_does_not_depend_on_splits(spark, tmp_path):
+    rows = rows_of(TEXTS * 3 + [f"document {k} " * (k % 50) for k in range(200)])
+    random.Random(3).shuffle(rows)
+    made = []
+    for n, order in ((3, rows), (7, rows[::-1])):
+        df = spark.createDataFrame(order, "doc_id long, text string").repartition(n)
+        got = sorted(tuple(x) for x in M.write_shards(df, target=f"file://{tmp_path}/{n}", length=32, shard_slots=40).drop("doc_id").collect())
+        made.append((got, {f.name: f.read_bytes() for f in (tmp_path / str(n)).glob("shard-*")}))
+    assert made[0] == made[1] and len(made[0][1]) > 3
+    stream = [x for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)) for x in reference_ids(t or "") + [1]]
+    total = -(-len(stream) // 32)
+    order = M.feistel(np.arange(total), total)
+    records = M.read_slots(f"file://{tmp_path}/3", 0, total, 32, 40)
+    want = np.array(stream + [0] * (total * 32 - len(stream))).reshape(total, 32)
+    assert (records[order] == want).all()  # brute force
+
+
 def brute_nearest(vectors, k=5):
     x = np.array([v for _, v in vectors], float)
     ids = np.array([i for i, _ in vectors])

@@ -134,7 +134,9 @@ def assemble(segments: DataFrame) -> DataFrame:
     """Segments in order with ``offset`` (prefix sum of lengths) and ``loss_mask``.
 
     A conversation is a run of rows, never one row, so that its length is not bounded
-    by a row's. Turns with equal numbers follow by a digest of role and text.
+    by a row's. Turns with equal numbers follow by a digest of role and text; a null
+    number comes first. A null conv_id is a conversation of its own; repeated rows are
+    turns each; an empty text has an empty body; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,6 +177,8 @@ def digests(assembled: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """Read assembled rows back, a digest per conversation.
 
     Rows are streamed in order: nothing of a conversation is held but its digests' state.
+    A null conv_id has its row; a conversation without text in the loss has 0 loss
+    characters and the digest of the empty string; an empty table gives no rows.
     """
     path = tokenizer or vocabulary()
 

@@ -2,8 +2,8 @@
 
 Every benchmark item is normalised to words; its windows of ``window`` consecutive
 words (an item of fewer words is one window) become patterns of a single automaton.
-Words are coded as single characters - one per benchmark word, NUL for every other
-word - so that a document is scanned once over its word sequence, and each hit maps
+Words are coded as characters - one or, beyond ``SYMBOLS`` benchmark words, two a word,
+NUL for every other word - so that a document is scanned once over its word sequence, and each hit maps
 back to word positions and from there to offsets in the original text.
 """
 
@@ -31,30 +31,42 @@ def words_of(text: str) -> list[bytes]:
     return WORD.findall(text.encode("utf-8", "surrogatepass").lower())
 
 
-def _symbol(i: int) -> str:
-    return chr(i if i < 0xD800 else i + 0x800)
+#: Code points that are characters of their own, without NUL.
+SYMBOLS = 0x110000 - 0x800 - 1
+
+
+def _symbol(i: int, width: int) -> str:
+    """The code of word number ``i``: ``width`` characters, none of them NUL."""
+    out = ""
+    for _ in range(width):
+        i, k = divmod(i, SYMBOLS)
+        out += chr(k + 1 if k + 1 < 0xD800 else k + 0x801)
+    return out
 
 
 class _Codes(dict):
+    def __init__(self, words: list[bytes]):
+        self.width = 1 if len(words) <= SYMBOLS else 2
+        self.none = "\0" * self.width
+        super().__init__((w, _symbol(i, self.width)) for i, w in enumerate(words))
+
     def __missing__(self, word: bytes) -> str:
-        return "\0"
+        return self.none
 
 
 class Automaton:
     """The windows of some items, ready to scan texts."""
 
     def __init__(self, items: list[tuple[str, str]], window: int):
-        self.codes = _Codes()
+        texts = [(item_id, words_of(text)) for item_id, text in items]
+        self.codes = _Codes(list(dict.fromkeys(w for _, words in texts for w in words)))
+        width = self.codes.width
         found: dict[str, tuple[int, set[str]]] = {}
-        for item_id, text in items:
-            words = words_of(text)
-            for w in words:
-                if w not in self.codes:
-                    self.codes[w] = _symbol(len(self.codes) + 1)
+        for item_id, words in texts:
             coded = "".join(self.codes[w] for w in words)
             for k in range(max(1, len(words) - window + 1)) if words else ():
-                key = coded[k : k + window]
-                found.setdefault(key, (len(key), set()))[1].add(item_id)
+                key = coded[k * width : (k + window) * width]
+                found.setdefault(key, (len(key) // width, set()))[1].add(item_id)
         self.automaton = ahocorasick.Automaton()
         for key, value in found.items():
             self.automaton.add_word(key, value)
@@ -67,7 +79,11 @@ class Automaton:
         items: set[str] = set()
         if self.empty or not words:
             return intervals, items
-        for end, (length, ids) in self.automaton.iter("".join(map(self.codes.__getitem__, words))):
+        width = self.codes.width
+        for last, (length, ids) in self.automaton.iter("".join(map(self.codes.__getitem__, words))):
+            end, inside = divmod(last, width)
+            if inside != width - 1:
+                continue  # across the codes of two words
             start = end - length + 1
             items |= ids
             while intervals and intervals[-1][0] >= start:
@@ -189,7 +205,11 @@ def _pruned(kernel, names: list[str]):
 
 
 def cut_passages(found: DataFrame) -> DataFrame:
-    """Replace ``text`` by the text without ``spans``."""
+    """Replace ``text`` by the text without ``spans`` (sorted and disjoint).
+
+    A text without spans, empty or null, stays as it is; one that is all spans becomes
+    empty; repeated rows are cut each; other columns are kept.
+    """
     rest = F.expr(
         "concat_ws('', transform(sequence(0, size(spans)), k -> substring(text, "
         "cast(if(k = 0, 0, spans[greatest(k - 1, 0)].end) + 1 as int), "

@@ -14,7 +14,10 @@ from .common import cut
 
 
 def _star(links: DataFrame, keep_smaller: bool) -> DataFrame:
-    """links: (u, v). Links v (and, keeping smaller ones, u) to the least of u and its neighbours."""
+    """links: (u, v). Links v (and, keeping smaller ones, u) to the least of u and its neighbours.
+
+    Repeated links count once; no links give none. Ends are not null.
+    """
     least = links.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     joined = links.join(least, "u")
     if keep_smaller:  # every neighbour is smaller than u

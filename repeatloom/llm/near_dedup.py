@@ -9,9 +9,11 @@ document's shingles, so 80 permutations fill 32 bands of 5 values; at a similari
    the links found join nodes into components: one large group of close copies costs
    as many comparisons as it has members.
 3. Buckets that still hold several components are compared inside, in blocks of about
-   ``BLOCK`` members and ``BLOCK_BYTES`` of text. A pair is taken up in the first band that it shares, if it lies
-   across components and its signatures agree well enough; buckets above ``SMALL``
-   members are confirmed where they are compared, which emits one link for each merge.
+   ``BLOCK`` members. A pair is taken up in the first band that it shares, if it lies
+   across components and its signatures agree well enough. What is compared are names and
+   signatures. Buckets of up to ``SMALL`` members emit their pairs; of larger ones the
+   members of such pairs meet again with their texts (``BLOCK_BYTES`` a block, about) and
+   are confirmed there, which emits one link for each merge instead of all pairs.
 
 So every pair that shares a band is either in one component already or compared.
 """
@@ -200,6 +202,13 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({x: pa.array([rows[k][n] for k in at], pa.binary()) for x, at, n in (("a", i, 4), ("b", j, 4), ("ra", i, 5), ("rb", j, 5))})
 
 
+def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members of a bucket that are in any pair to confirm."""
+    for rows in _groups(batches, 3):
+        at = np.unique(np.concatenate(_across(rows))).tolist()
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array([rows[k][0] for k in at], pa.int64()), "node": pa.array([rows[k][4] for k in at], pa.binary())})
+
+
 def _merges(width: int, percent: int):
     """Links across components of large buckets, confirmed here; one for each merge."""
 
@@ -271,16 +280,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, id_
     pairs = cut(pairs, "pairs")
     links = confirmed(pairs.select("a", "b")).join(pairs, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     big = open_.where(f"n > {SMALL}")
-    weights = big.select("bucket", "node").join(texts.select("node", F.octet_length("text").alias("bytes")), "node").groupBy("bucket").agg(F.sum("bytes").alias("bytes"))
-    large = (
-        big.join(weights, "bucket")
-        .withColumn("blocks", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)))
-        .withColumn("block", F.expr("cast(pmod(xxhash64(node, bucket), blocks) as int)"))
-        .join(texts, "node")
-        .withColumn("other", F.explode(F.expr("sequence(0, cast(blocks - 1 as int))")))
-        .withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
-        .select(*columns, "text")
-    )
+
+    def blocked(members: DataFrame, blocks) -> DataFrame:
+        """Every pair of a bucket's blocks as a group of rows."""
+        dealt = members.withColumn("blocks", blocks).withColumn("block", F.expr("cast(pmod(xxhash64(node, bucket), blocks) as int)"))
+        dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, cast(blocks - 1 as int))")))
+        return dealt.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+
+    every = blocked(big, F.ceil(F.col("n") / BLOCK)).select(*columns)
+    paired = cut(every.repartition(*group).sortWithinPartitions(*group).mapInArrow(_paired, "bucket long, node binary").distinct(), "paired")
+    rest = big.join(paired, ["bucket", "node"], "left_semi")
+    weights = paired.join(texts.select("node", F.octet_length("text").alias("bytes")), "node").groupBy("bucket").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("left"))
+    rest = rest.join(weights, "bucket")
+    large = blocked(rest, F.greatest(F.ceil(F.col("left") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES))).join(texts, "node").select(*columns, "text")
     merges = large.repartition(*group).sortWithinPartitions(*group).mapInArrow(_merges(width, percent), "a binary, b binary")
     second = connected_components(links.unionByName(merges))
 

@@ -6,9 +6,12 @@ tokens) that holds it. Each tier is packed around its own documents, longest fir
 window's gap is filled by the longest waiting piece that fits, which comes from the
 shorter tiers, and only where none fits is a piece cut. What remains at the end of an
 input partition goes into windows of falling powers of two, so no window has padding.
-Windows are dealt to step groups of equal numbers of tokens.
+Windows are dealt to step groups of exactly ``STEP_TOKENS`` tokens: sizes are powers of two,
+so the largest windows of a partition fill whole groups, among which they are dealt to the
+least loaded. What a partition has over is filled up with what others have over, from a
+table of a few counts a partition; only the very last group may be smaller.
 
-The ids stay in the partition that read the text: packing takes no shuffle.
+The ids stay in the partition that read the text: packing moves no ids.
 """
 
 from __future__ import annotations
@@ -21,16 +24,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 from .tokens import encoder, vocabulary
 
 TIERS = (2048, 1024, 512, 256)
 #: Tokens gathered before a partition's next windows are formed.
 CHUNK_TOKENS = 2_000_000
-#: Tokens of a step group.
+#: Tokens of a step group, a multiple of the longest tier.
 STEP_TOKENS = 65_536
 END_ID = 1
+#: Bits of a sequence's or group's number within its partition, and the first of the groups across partitions.
+PART_BITS, ACROSS = 36, 1 << 60
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, context long, step_group long"
 
@@ -44,6 +50,8 @@ class Packer:
         self.mask, self.tokens = 0, 0
         self.next_sequence = self.next_step = first_sequence
         self.windows: list[tuple[int, list[tuple]]] = []
+        if step_tokens % tiers[0]:
+            raise ValueError("a step group must be a multiple of the longest tier")
 
     def add(self, doc_id, ids: bytes) -> None:
         n, top, start = len(ids) // 4, self.tiers[0], 0
@@ -80,8 +88,12 @@ class Packer:
             gap -= piece[2]
         self.windows.append((size, pieces))
 
-    def pack(self, last: bool) -> list[tuple[int, int, int, list[tuple]]]:
-        """The windows formed so far: (sequence, step group, size, pieces)."""
+    def pack(self, last: bool) -> list[tuple[int, int | None, int | None, int, list[tuple]]]:
+        """The windows of whole step groups: (sequence, step group, None, size, pieces).
+
+        The others wait; in the end they come as (sequence, None, number among those of
+        its size, size, pieces).
+        """
         for size in self.tiers:
             least = size // 2 if size > self.tiers[-1] else 0
             while self.tokens >= size and self.mask >> (least + 1):
@@ -91,22 +103,32 @@ class Packer:
             while size > self.tokens:
                 size //= 2
             self._fill(size)
-        windows, self.windows = self.windows, []
-        steps = max(1, round(sum(w[0] for w in windows) / self.step_tokens))
+        self.windows.sort(key=lambda w: -w[0])
+        ends = np.cumsum([w[0] for w in self.windows])
+        steps = int(ends[-1]) // self.step_tokens if len(ends) else 0
+        n = int(np.searchsorted(ends, steps * self.step_tokens)) + 1 if steps else 0
         loads = [(0, self.next_step + k) for k in range(steps)]
         out = []
-        for size, pieces in sorted(windows, key=lambda w: -w[0]):
+        for size, pieces in self.windows[:n]:
             load, step = heapq.heappop(loads)
             heapq.heappush(loads, (load + size, step))
-            out.append((self.next_sequence, step, size, pieces))
+            out.append((self.next_sequence, step, None, size, pieces))
             self.next_sequence += 1
         self.next_step += steps
+        self.windows = self.windows[n:]
+        if last:
+            seen: dict[int, int] = {}
+            for size, pieces in self.windows:
+                out.append((self.next_sequence, None, seen.get(size, 0), size, pieces))
+                seen[size] = seen.get(size, 0) + 1
+                self.next_sequence += 1
+            self.windows = []
         return out
 
 
 def _batch(windows: list, with_ids: bool) -> pa.RecordBatch:
-    rows = [(*piece, sequence, step, size, offset) for sequence, step, size, pieces in windows for piece, offset in zip(pieces, np.cumsum([0] + [p[2] for p in pieces]).tolist())]
-    cols = list(zip(*rows)) if rows else [[]] * 9
+    rows = [(*piece, sequence, step, size, offset, number) for sequence, step, number, size, pieces in windows for piece, offset in zip(pieces, np.cumsum([0] + [p[2] for p in pieces]).tolist())]
+    cols = list(zip(*rows)) if rows else [[]] * 10
     long = lambda x: pa.array(x, pa.int64())
     data = {
         "doc_id": long(cols[0]),
@@ -118,6 +140,7 @@ def _batch(windows: list, with_ids: bool) -> pa.RecordBatch:
         "offset": long(cols[8]),
         "context": long(cols[7]),
         "step_group": long(cols[6]),
+        "number": long(cols[9]),
     }
     if with_ids:
         data["ids"] = pa.array(cols[3], pa.binary())
@@ -133,13 +156,14 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, tiers: tuple[i
 
     A null or empty text is the end id alone; a null ``doc_id`` stays null; repeated
     rows are packed each. An empty table gives no rows. ``context`` is the window's
-    size and ``step_group`` the optimiser step that it is dealt to.
+    size and ``step_group`` the optimiser step that it is dealt to: all steps but one have
+    ``STEP_TOKENS`` tokens.
     """
     path = tokenizer or vocabulary()
     end = np.asarray([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, encode = Packer(TaskContext.get().partitionId() << 36, tiers), encoder(path).encode
+        packer, encode = Packer(TaskContext.get().partitionId() << PART_BITS, tiers), encoder(path).encode
         held = 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1)):
@@ -151,7 +175,21 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, tiers: tuple[i
                     held = packer.tokens
         yield _batch(packer.pack(True), with_ids)
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES + (", ids binary" if with_ids else ""))
+    schema = PIECES + ", number long" + (", ids binary" if with_ids else "")
+    pieces = cut(docs.select("doc_id", "text").mapInArrow(run, schema), "pieces")
+    part = F.shiftright("sequence_id", PART_BITS)
+    over = pieces.where("step_group is null and offset = 0").groupBy(part.alias("part"), "context").count().collect()  # a few counts a partition
+    done = pieces.where("step_group is not null").drop("number")
+    if not over:
+        return done
+    starts, at = [], 0
+    for r in sorted(over, key=lambda r: (-r["context"], r["part"])):
+        starts.append((r["part"], r["context"], at))
+        at += r["context"] * r["count"]
+    begins = docs.sparkSession.createDataFrame(starts, "part long, context long, begins long")
+    rest = pieces.where("step_group is null").withColumn("part", part).join(begins, ["part", "context"])
+    rest = rest.withColumn("step_group", F.expr(f"{ACROSS}L + (begins + number * context) div {STEP_TOKENS}"))
+    return done.unionByName(rest.select(done.columns))
 
 
 def op6_packing(spark, sf_dir: str) -> DataFrame:

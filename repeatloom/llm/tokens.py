@@ -21,6 +21,8 @@ _LETTER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-ž"
 _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^\t\n\r \\u2028{_LETTER}{_NUMBER}]+")
 CACHE_WORDS = 700_000
+#: Longer words are not held.
+CACHE_LENGTH = 64
 
 
 class Encoder(dict):
@@ -36,7 +38,9 @@ class Encoder(dict):
         if len(self) >= CACHE_WORDS:
             self.clear()
         ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        found = self[word] = np.asarray(ids, "<u4").tobytes()
+        found = np.asarray(ids, "<u4").tobytes()
+        if len(word) <= CACHE_LENGTH:
+            self[word] = found
         return found
 
     def encode(self, text: str) -> bytes:

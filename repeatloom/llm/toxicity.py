@@ -25,12 +25,15 @@ LEXICON, LEAST_TEXTS, LEAST_WEIGHT = 4000, 3, 1.5
 FOLDS = 5
 #: Tokens whose properties a worker holds.
 CACHE_TOKENS = 150_000
+#: Longer tokens are not held.
+CACHE_LENGTH = 64
 
 #: Common insults and words of the second person.
 INSULTS = "idiot idiots moron morons stupid dumb loser losers scum trash garbage pathetic worthless disgusting clown fool imbecile jerk pig vermin filth".split()
 YOU = "you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre vos usted ustedes ti tuyo vosotros".split()
 _PLAIN = str.maketrans("0134578@$!|+", "oieastbasiit")
-_EDGE = re.compile(r"^[^\w@$]+|[^\w@$!]+$")
+#: Possessive, and tried only where a run begins, so that a long run inside a token is read once.
+_EDGE = re.compile(r"^[^\w@$]++|(?<![^\w@$!])[^\w@$!]++$")
 _RUN = re.compile(r"(.)\1\1", re.S)
 _UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
 NEAR = 5
@@ -63,7 +66,9 @@ class Tokens(dict):
         hidden = plain != word and (plain in self.fixed or any(k in self.lexicon for k in word_keys(plain)[:1]))
         mixed = bool(core) and not core.isalpha() and any(map(str.isalpha, core)) and any(c.isdigit() or c in "@$*" for c in core)
         flags = fixed | hidden << 1 | (word in self.you) << 2 | (len(word) > 2 and core.isupper()) << 3 | mixed << 4
-        found = self[token] = flags | int(min(weight, 12) * 1000) << 8
+        found = flags | int(min(weight, 12) * 1000) << 8
+        if len(token) <= CACHE_LENGTH:
+            self[token] = found
         return found
 
 
@@ -233,7 +238,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn_rows: int = LEARN_ROWS) -> Mod
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``keep`` columns of each row with ``score`` and ``predicted``. A null text is empty."""
+    """The ``keep`` columns of each row with ``score`` and ``predicted``.
+
+    A null text is empty, and empty ones are scored; repeated rows are scored each; equal
+    texts have equal scores; an empty table gives no rows.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by LEXICON and the trees
     schema = docs.select(*keep).withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
 

@@ -55,6 +55,20 @@ def test_decontamination(spark, slice_bytes):
     assert D.find_contamination(df.limit(0), spark.createDataFrame(items, "item_id long, text string")).count() == 0
 
 
+def test_decontamination_beyond_one_character_a_word(monkeypatch):
+    monkeypatch.setattr(D, "SYMBOLS", 4)
+    r = random.Random(12)
+    vocabulary = [f"w{k}" for k in range(14)]
+    items = [(str(k), " ".join(r.choice(vocabulary) for _ in range(r.randint(1, 12)))) for k in range(40)]
+    a = D.Automaton(items, 3)
+    assert a.codes.width == 2 and len(set(a.codes.values())) == len(a.codes)
+    for _ in range(200):
+        text = " ".join(r.choice([*vocabulary, "other"]) for _ in range(r.randint(0, 40)))
+        hits, ids = a.scan(D.words_of(text))
+        n, hit, want = brute_hits(text, items, 3)
+        assert (sum(y - x for x, y in hits), sorted(ids)) == (hit, want)
+
+
 def test_cut_passages(spark):
     item = "one two three four five six seven eight nine"
     rows = [(1, f"Ünd before, {item.upper()}! after"), (2, "clean text"), (3, item), (4, None)]
@@ -282,6 +296,64 @@ def test_toxicity_on_held_out_rows(spark):
     assert T.score_toxicity(docs_df.limit(0), labels_df).count() == 0
 
 
+@pytest.mark.parametrize("text", ["a" + "." * 2_000_000 + "b", "!" * 2_000_000, "a.b" * 700_000, "..a.." * 400_000, "x " * 500_000])
+def test_toxicity_time_is_linear(text):
+    began = time.perf_counter()
+    T.features(text, T.Tokens({}))
+    assert time.perf_counter() - began < 6
+
+
+def test_edges_of_tokens():
+    r = random.Random(13)
+    for _ in range(2000):
+        token = "".join(r.choice("ab.@!$-é") for _ in range(r.randint(0, 8)))
+        assert T._EDGE.sub("", token) == re.sub(r"^[^\w@$]+|[^\w@$!]+$", "", token)
+
+
+def brute_tree(x, g, h, rows, depth, least):
+    """The best splits by trying every threshold between values."""
+    total = g[rows].sum() / (h[rows].sum() + 1)
+    best = (1e-6, None)
+    if depth and len(rows) >= 2 * least:
+        for f in range(x.shape[1]):
+            for t in np.unique(x[rows, f])[:-1]:
+                a, b = rows[x[rows, f] <= t], rows[x[rows, f] > t]
+                if min(len(a), len(b)) >= least:
+                    gain = sum(g[k].sum() ** 2 / (h[k].sum() + 1) for k in (a, b)) - g[rows].sum() ** 2 / (h[rows].sum() + 1)
+                    if gain > best[0] + 1e-12:
+                        best = (gain, (a, b))
+    if best[1] is None:
+        out = np.zeros(len(g))
+        out[rows] = np.clip(total, -4, 4)
+        return out
+    return sum(brute_tree(x, g, h, k, depth - 1, least) for k in best[1])
+
+
+def test_boosted_trees_equal_brute_force():
+    r = np.random.default_rng(14)
+    x = r.integers(0, 12, (200, 4)).astype(float)  # fewer values than bins: every threshold is one
+    y = (x[:, 0] + x[:, 1] * (x[:, 2] > 5) + r.normal(size=200) > 9).astype(float)
+    made = T.Trees(x, y, trees=6, depth=3, rate=0.3, bins=400, least=5)
+    margin = np.full(200, made.base)
+    for _ in range(6):
+        p = 1 / (1 + np.exp(-margin))
+        margin += 0.3 * brute_tree(x, y - p, np.maximum(p * (1 - p), 1e-6), np.arange(200), 3, 5)
+    assert np.allclose(made.margin(x), margin)
+
+
+def test_isotonic_equals_least_squares():
+    """The pools have the means that max-min formulas give."""
+    r = np.random.default_rng(15)
+    m = np.sort(r.choice(np.arange(40), 25, replace=False)).astype(float)
+    y = (r.random(25) < m / 40).astype(float)
+    knots, p = T.isotonic(m, y)
+    mean = y.mean()
+    for k in range(25):
+        fitted = max(min(y[i : j + 1].mean() for j in range(k, 25)) for i in range(k + 1))
+        n = sum(np.isclose(fitted, max(min(y[i : j + 1].mean() for j in range(q, 25)) for i in range(q + 1))) for q in range(25))
+        assert np.isclose(np.interp(m[k], knots, p), (fitted * n + mean) / (n + 1))
+
+
 def test_isotonic_is_monotone():
     r = np.random.default_rng(8)
     m = r.normal(size=300)

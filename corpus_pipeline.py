@@ -1,4 +1,10 @@
-"""Corpus pipeline: each stage reads what its predecessor kept, as Parquet."""
+"""Corpus pipeline: each stage reads what its predecessor kept, as Parquet.
+
+In every stage a null or empty text is a text without words or lines: it is not toxic
+by any word, loses nothing, duplicates nothing and holds no passage. A null id is an id
+like others. Columns beyond those of ``documents`` are not read, and an empty table gives
+an empty table.
+"""
 
 from __future__ import annotations
 
@@ -15,13 +21,22 @@ LINE_RATIO = 0.01
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not predicted toxic."""
+    """Documents that are not predicted toxic.
+
+    Empty and null texts are scored as texts without words. Repeated rows have one score,
+    so they stay or go together, as do rows of equal text. Without labels of both kinds
+    nothing is rejected unless most labels are toxic.
+    """
     scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), keep=tuple(DOCUMENT_COLUMNS))
     return scored.where("predicted = 0").select(*DOCUMENT_COLUMNS)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without their source's boilerplate lines."""
+    """Documents without their source's boilerplate lines.
+
+    A document that loses all its lines stays, with an empty text; null and empty texts
+    stay as they are. Repeated rows count as pages each; a null source is a source.
+    """
     found = line_dedup.drop_boilerplate(docs, LINE_RATIO)
     return found.withColumn("n_chars", F.length("text").cast("long")).select(*DOCUMENT_COLUMNS)
 
@@ -29,6 +44,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates, of the smallest id (null last).
 
+    Of rows that tie the one of the least hash, and then of the least other columns, stays.
+    Texts without words duplicate nothing, so they stay, but for equal rows.
     Ids may repeat, so rows are known by a hash of id and text. Rows that share it are
     copies, of which one stays; only hashes on several rows are brought together.
     """
@@ -43,7 +60,12 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go; from the others the benchmark's passages are cut."""
+    """Contaminated documents go; from the others the benchmark's passages are cut.
+
+    Contaminated are documents with passages of two or more items, or with more than
+    ``HIT_SHARE`` of their words in passages. A document may keep an empty text. Null and
+    empty texts stay; repeated rows are judged each; an empty benchmark cuts nothing.
+    """
     found = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), keep=tuple(DOCUMENT_COLUMNS))
     found = found.where((F.col("n_items") < 2) & (F.col("n_hit") <= HIT_SHARE * F.col("n_words")))
     cut = decontaminate.cut_passages(found)
@@ -51,7 +73,10 @@ def decontaminate_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in context windows."""
+    """Pieces of documents in context windows.
+
+    A null or empty text is its end id alone; repeated rows are packed each.
+    """
     return packing.pack_documents(docs)
 
 

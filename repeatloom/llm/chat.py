@@ -218,3 +218,25 @@ def op5_chat_formatting(spark, sf_dir: str) -> DataFrame:
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
     return digests(assemble(format_turns(turns)))
+
+
+# The markers' lengths stand for the reserved ids' strings.
+_SQL_ESCAPE = r"regexp_replace({}, '([<\[])(\\*)(\|(?:system|user|assistant|tool|end|role|name|im_start|im_end|endoftext|startoftext)\||/?s|/?INST|/?SYS)([>\]])', '\1\\\2\3\4', 'g')"
+
+OP5_SQL = f"""
+with turns as (
+  select conv_id, turn, role, text from conversations
+  union all select -1, 0, 'user', '{PROBE}' union all select -1, 1, 'assistant', '{PROBE}'
+), made as (
+  select conv_id, turn, coalesce(role, '') as r, coalesce(text, '') as t, role = 'assistant' as learn,
+    substr(sha256(coalesce(role, 'None') || chr(10) || coalesce(text, 'None')), 1, 16) as tie,
+    case when role in ('system', 'user', 'assistant', 'tool') then length(role) + 4 else 16 + length({_SQL_ESCAPE.format("coalesce(role, '')")}) end
+      + length({_SQL_ESCAPE.format("coalesce(text, '')")}) + 7 as chars
+  from turns
+), joined as (
+  select conv_id, count(*) as n_turns, sum(chars) as chars, string_agg(r || chr(10) || t || chr(10), '' order by turn nulls first, tie) as whole,
+    coalesce(string_agg(t, '' order by turn nulls first, tie) filter (learn), '') as loss
+  from made group by conv_id
+)
+select cast(conv_id as bigint) as conv_id, n_turns, sha256(whole) as turns_sha256, cast(length(loss) as bigint) as loss_chars, sha256(loss) as loss_sha256, cast(chars as bigint) as formatted_chars from joined
+"""

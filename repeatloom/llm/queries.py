@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .chat import op5_chat_formatting
+from .chat import OP5_SQL, op5_chat_formatting
 from .decontaminate import OP10_SQL, op10_benchmark_decontamination
 from .html_text import op7_html_extraction
 from .line_dedup import OP1_SQL, op1_line_dedup
@@ -29,5 +29,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_line_dedup": OP1_SQL,
     "op2_minhash_near_dedup": OP2_SQL,
+    "op5_chat_formatting": OP5_SQL,
     "op10_benchmark_decontamination": OP10_SQL,
 }

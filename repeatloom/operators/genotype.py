@@ -10,9 +10,11 @@ one observation a read, and by locus for alleles.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +30,7 @@ from ..storage import cut
 from . import reads as R
 from . import stats
 from .call import assign_alleles, double_homozygotes
+from .groups import runs_of
 from .intervals import interval_join
 
 _METH = T.StructType([T.StructField(n, T.DoubleType() if n in ("mean", "frac") else T.IntegerType()) for n in ("mean", "n", "frac", "n_valid", "n_mod", "n_fail", "n_hydroxy")])
@@ -183,7 +186,7 @@ def assigned_reads(rows: DataFrame, loci: DataFrame, options: S.Options = S.Opti
     used = calls.where(F.col("exact") == F.col("any_exact"))
     ploidy = loci.select(F.col("id").alias("locus"), C.ploidy(F.col("contig"), options.sex).alias("ploidy")).where("ploidy > 0")
     cells = stats.histogram(used, ["locus", "hp"], "units").join(ploidy, "locus")
-    alleles = assign_alleles(cells, options)
+    alleles = cut(assign_alleles(cells, options), "assigned-cells")  # three readers, one run of the mixture kernel
     key = ["locus", "hp", "value"]
     direct = used.withColumn("value", F.col("units")).join(alleles.drop("n"), key).select("locus", "ord", "name", "allele", "method", "notes")
     centres = alleles.where("allele > 0").select("locus", F.col("allele").alias("idx"), F.col("median").alias("centre")).distinct()
@@ -198,17 +201,26 @@ _SEQ_TYPES = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "dou
 _SEQ = "locus string, allele int, structure string, seq string, motif string, n_exact int, int_pos string, n_interruption long, n_pathogenic long, n_benign long, noise double, other_period int"
 
 
-def _sequences(group: pa.Table) -> pa.Table:
-    """Representative, consensus and label statistics of an allele's reads with a run."""
-    rows = sorted(group.to_pylist(), key=lambda r: r["ord"])
+def _sequences(rows: list[dict]) -> dict:
+    """Representative, consensus and label statistics of an allele's reads with a run.
+
+    rows: equal reads once, in order of their first, with ``weight``.
+    """
     first = rows[0]
     m = motifs(first["unit_len"], *(tuple(first[k] or ()) for k in ("ref_motifs", "pathogenic_motifs", "benign_motifs", "interruption_motifs")))
-    middle = lambda v: (lambda s: (s[(len(s) - 1) // 2] + s[len(s) // 2]) / 2)(sorted(v))
     size, centre = first["unit_len"], first["centre_all"]
+    weights = np.array([r["weight"] for r in rows])
+    n = int(weights.sum())
+
+    def middle(values: list) -> float:
+        order = np.argsort(values, kind="stable")
+        at = np.searchsorted(np.cumsum(weights[order]), [(n - 1) // 2, n // 2], side="right")
+        return float(np.asarray(values)[order][at].sum()) / 2
+
     reads = []
     for r in rows:
         phase = r["phase"] and (r["phase"][0], r["phase"][1:])
-        reads.append(cons.Read(r["run_seq"], Run(0, len(r["run_seq"]), tuple(zip(r["labels"], r["run_units"])), phase), int(r["units"])))
+        reads.append(cons.Read(r["run_seq"], Run(0, len(r["run_seq"]), tuple(zip(r["labels"], r["run_units"])), phase), int(r["units"]), r["weight"]))
     typical = middle([len(x.run) for x in reads])
     rep = min(range(len(reads)), key=lambda k: (abs(reads[k].units - centre), cons.shortfall(reads[k].units, len(reads[k].run)), reads[k].run.noise, abs(len(reads[k].run) - typical), k))
     shown, seq = reads[rep].run, reads[rep].seq
@@ -219,24 +231,35 @@ def _sequences(group: pa.Table) -> pa.Table:
         if again and again.units and 2 * len(again) >= len(shown):
             shown, source = again, made.upper()
         seq = made
-    units = [source[at : at + size] for at in shown.unit_at]
-    seen = list(dict.fromkeys(units))
-    motif = max(seen, key=lambda u: (units.count(u), m.match(u) is not None)) if seen else None
-    modal = [x.run for x in reads if x.units == round(centre)]
-    spots: dict[int, int] = {}
-    for run in modal:
-        for p in run.positions("I"):
-            spots[p] = spots.get(p, 0) + 1
-    common = [str(p) for p in sorted(spots) if spots[p] >= 0.5 * max(1, len(modal))]
+    units = Counter(source[at : at + size] for at in shown.unit_at)
+    motif = max(units, key=lambda u: (units[u], m.match(u) is not None)) if units else None
+    modal = [x for x in reads if x.units == round(centre)]
+    spots: Counter = Counter()
+    for x in modal:
+        spots.update(dict.fromkeys(x.run.positions("I"), x.weight))
+    common = [str(p) for p in sorted(spots) if spots[p] >= 0.5 * max(1, sum(x.weight for x in modal))]
     count = lambda label: int(middle([x.run.count(label) for x in reads]))
-    hits = [r["other_period"] for r in rows if r["other_period"]]
-    other = max(set(hits), key=lambda p: (hits.count(p), -p)) if hits and 2 * len(hits) >= len(rows) else None
-    out = {
-        "locus": first["locus"], "allele": first["allele"], "structure": shown.labels, "seq": seq, "motif": motif, "n_exact": len(reads), "int_pos": "/".join(common) or None,
-        "n_interruption": count("I"), "n_pathogenic": None if other else count("P"), "n_benign": count("B"), "noise": sum(x.run.noise for x in reads) / len(reads), "other_period": other,
+    hits: Counter = Counter()
+    for r in rows:
+        if r["other_period"]:
+            hits[r["other_period"]] += r["weight"]
+    other = max(hits, key=lambda p: (hits[p], -p)) if hits and 2 * hits.total() >= n else None
+    return {
+        "locus": first["locus"], "allele": first["allele"], "structure": shown.labels, "seq": seq, "motif": motif, "n_exact": n, "int_pos": "/".join(common) or None,
+        "n_interruption": count("I"), "n_pathogenic": None if other else count("P"), "n_benign": count("B"), "noise": sum(x.run.noise * x.weight for x in reads) / n, "other_period": other,
     }
+
+
+def _sequences_of(names: list[str]):
+    """Rows sorted by (locus, allele, ord), ``names`` their columns."""
     fields = [x.split() for x in _SEQ.split(", ")]
-    return pa.Table.from_pylist([out], schema=pa.schema([(name, _SEQ_TYPES[kind]) for name, kind in fields]))
+    schema = pa.schema([(name, _SEQ_TYPES[kind]) for name, kind in fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for groups in runs_of(batches, 2):
+            yield pa.RecordBatch.from_pylist([_sequences([dict(zip(names, row)) for row in g]) for g in groups], schema=schema)
+
+    return run
 
 
 def allele_table(reads: DataFrame, loci: DataFrame, options: S.Options = S.Options()) -> DataFrame:
@@ -247,8 +270,10 @@ def allele_table(reads: DataFrame, loci: DataFrame, options: S.Options = S.Optio
     fields = ["ref_motifs", "pathogenic_motifs", "benign_motifs", "interruption_motifs"]
     catalogue = loci.select(F.col("id").alias("locus"), *fields)
     exact = members.where("exact").join(spread.select(*keys, F.col("median").alias("centre_all")), keys).join(catalogue, "locus")
-    exact = exact.select(*keys, "ord", "units", "unit_len", "labels", "run_seq", "run_units", "phase", "other_period", "centre_all", *fields)
-    sequences = exact.groupBy(*keys).applyInArrow(_sequences, _SEQ)
+    content = [*keys, "units", "unit_len", "labels", "run_seq", "run_units", "phase", "other_period", "centre_all", *fields]
+    counted = exact.groupBy(*content).agg(F.min("ord").alias("ord"), F.count("*").alias("weight"))
+    ordered = counted.repartition(*keys).sortWithinPartitions(*keys, "ord")
+    sequences = ordered.mapInArrow(_sequences_of(ordered.columns), _SEQ)
     share = lambda a, b: F.when(b > 0, a / b)
     tract, up, down = F.col("tract"), F.col("up"), F.col("down")
     valid = F.coalesce(tract["n_valid"], F.lit(0))

@@ -1,20 +1,23 @@
 """The sequence kernels as DataFrame operators.
 
-Row kernels run inside the tasks that hold the rows (no shuffle); the consensus takes an
-allele's reads together.
+Row kernels run inside the tasks that hold the rows (no shuffle). The consensus first
+counts equal reads of an allele, before the shuffle, and takes the counted reads together.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..kernels import basemods, consensus as cons
-from ..kernels.units import motifs
+from ..kernels.units import Run, motifs
+from .groups import runs_of
 
 RUN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("n_units", T.IntegerType()), T.StructField("labels", T.StringType()), T.StructField("unit_at", T.ArrayType(T.IntegerType())), T.StructField("phase", T.StringType()), T.StructField("bridged", T.BooleanType())])
 REGIONS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
@@ -48,6 +51,21 @@ def _motifs(unit_len, *lists):
     return motifs(unit_len, *(tuple(m or ()) for m in lists))
 
 
+@lru_cache(maxsize=8192)
+def _decomposed(seq: str, lists: tuple, window: tuple | None = None, most: int | None = None) -> Run | None:
+    """Equal short sequences, of which amplicons have many, are walked once a worker."""
+    return motifs(*lists).decompose(seq, window, most)
+
+
+#: Bases of the longest sequence whose tract a worker holds.
+HELD_BASES = 2000
+
+
+def _run_of(seq: str, lists: tuple, window: tuple | None = None, most: int | None = None) -> Run | None:
+    made = _decomposed if len(seq) <= HELD_BASES else _decomposed.__wrapped__
+    return made(seq.upper(), lists, window, most)
+
+
 def decompose(df: DataFrame, seq: str, unit_len: str, canonical: Column, pathogenic: Column | None = None, benign: Column | None = None, interruption: Column | None = None, window: Column | None = None, max_bp: Column | None = None) -> DataFrame:
     """Adds ``run``: the tract as labelled units, null where there is none.
 
@@ -57,7 +75,7 @@ def decompose(df: DataFrame, seq: str, unit_len: str, canonical: Column, pathoge
     inputs += [F.lit(None).cast("struct<start:int,end:int>") if window is None else window, F.lit(None).cast("int") if max_bp is None else max_bp]
 
     def kernel(s, n, c, p, b, i, w, most):
-        run = _motifs(n, c, p, b, i).decompose(s.upper(), (w["start"], w["end"]) if w else None, most) if s else None
+        run = _run_of(s, (n, *(tuple(m or ()) for m in (c, p, b, i))), (w["start"], w["end"]) if w else None, most) if s else None
         return run and {"start": run.start, "end": run.end, "n_units": len(run), "labels": run.labels, "unit_at": run.unit_at, "phase": run.phase and run.phase[1], "bridged": run.bridged}
 
     return _with_column(df, "run", RUN, inputs, kernel)
@@ -100,26 +118,34 @@ def consensus(reads: DataFrame, keys: list[str], seq: str, unit_len: str, canoni
 
     The representative has the least (distance from the median count, shortfall, noise), then the first.
     """
-    kinds = ", ".join(f"{k} {reads.schema[k].dataType.simpleString()}" for k in keys)
-    rows = reads.select(*keys, F.col(order).alias("_ord"), F.col(seq).alias("_seq"), F.col(unit_len).alias("_len"), canonical.alias("_motifs"), units.cast("double").alias("_units"))
-    at = {c: k for k, c in enumerate(rows.columns)}
-
-    def run(group: pa.Table) -> pa.Table:
-        data = sorted(zip(*(c.to_pylist() for c in group.columns)), key=lambda r: r[at["_ord"]])
-        m = motifs(data[0][at["_len"]], tuple(data[0][at["_motifs"]]))
-        counts = sorted(r[at["_units"]] for r in data)
-        centre = (counts[(len(counts) - 1) // 2] + counts[len(counts) // 2]) / 2
-        found = [(r, m.decompose(r[at["_seq"]].upper())) for r in data]
-        found = [(r, x) for r, x in found if x]
-        best, labels = None, None
-        if found:
-            members = [cons.Read(r[at["_seq"]][x.start : x.end], x, int(r[at["_units"]])) for r, x in found]
-            rep = min(range(len(found)), key=lambda k: (abs(found[k][0][at["_units"]] - centre), cons.shortfall(members[k].units, len(found[k][1])), found[k][1].noise, k))
-            best = cons.consensus(members, m, rep) or members[rep].seq
-            again = m.decompose(best.upper())
-            rep_labels = found[rep][1].labels
-            labels = again.labels if again and 2 * len(again) >= len(rep_labels) else rep_labels
-        head = [pa.array([data[0][at[k]]], group.schema.field(k).type) for k in keys]
-        return pa.Table.from_arrays([*head, pa.array([best], pa.string()), pa.array([labels], pa.string()), pa.array([len(found)], pa.int32())], names=[*keys, "consensus", "labels", "n_reads"])
-
-    return rows.groupBy(*keys).applyInArrow(run, f"{kinds}, consensus string, labels string, n_reads int")
+    rows = reads.select(*keys, F.col(seq).alias("_seq"), F.col(unit_len).alias("_len"), canonical.alias("_motifs"), units.cast("double").alias("_units"), F.col(order).alias("_ord"))
+    content = [*keys, "_seq", "_len", "_motifs", "_units"]
+    ballots = rows.groupBy(*content).agg(F.min("_ord").alias("_ord"), F.count("*").alias("_weight"))
+    n = len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for groups in runs_of(batches, n):
+            made = [(*g[0][:n], *_voted(tuple((r[n], r[n + 1], tuple(r[n + 2]), r[n + 3], r[n + 5]) for r in g))) for g in groups]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), types)], names=names)
+
+    schema = T.StructType([*(reads.schema[k] for k in keys), T.StructField("consensus", T.StringType()), T.StructField("labels", T.StringType()), T.StructField("n_reads", T.LongType())])
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    types, names = [to_arrow_type(f.dataType) for f in schema.fields], schema.fieldNames()
+    return ballots.repartition(*keys).sortWithinPartitions(*keys, "_ord", "_seq").mapInArrow(run, schema)
+
+
+@lru_cache(maxsize=1024)
+def _voted(rows: tuple) -> tuple[str | None, str | None, int]:
+    """Consensus, its labels and the reads with a run, of rows (seq, unit length, motifs, units, weight) in order."""
+    lists = (rows[0][1], rows[0][2])
+    counts = np.sort(np.repeat([r[3] for r in rows], [r[4] for r in rows]))
+    centre = (counts[(len(counts) - 1) // 2] + counts[len(counts) // 2]) / 2
+    found = [(r, x) for r in rows if (x := _run_of(r[0], lists))]
+    if not found:
+        return None, None, 0
+    members = [cons.Read(r[0][x.start : x.end], x, int(r[3]), r[4]) for r, x in found]
+    rep = min(range(len(found)), key=lambda k: (abs(found[k][0][3] - centre), cons.shortfall(members[k].units, len(members[k].run)), members[k].run.noise, k))
+    best = cons.consensus(members, motifs(*lists), rep) or members[rep].seq
+    again, shown = _run_of(best, lists), members[rep].run
+    return best, (again if again and 2 * len(again) >= len(shown) else shown).labels, sum(m.weight for m in members)

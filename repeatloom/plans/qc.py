@@ -26,10 +26,14 @@ def _finding(df: DataFrame, check: str, status: Column, basis: Column | str, mes
     return df.select(F.lit(check).alias("check"), status.alias("status"), basis.alias("basis"), message.alias("message"), (empty if detail is None else F.coalesce(detail, empty)).alias("detail"))
 
 
-def _shown(items: Column) -> Column:
-    """At most ``SHOWN`` entries in table order (struct: ord, text), and a mark where there are more."""
-    texts = F.transform(F.slice(F.sort_array(items), 1, SHOWN), lambda x: x["text"])
-    return F.concat(texts, F.when(F.size(items) > SHOWN, F.array(F.lit("..."))).otherwise(F.expr("cast(array() as array<string>)")))
+def _with_shown(counts: DataFrame, items: DataFrame) -> DataFrame:
+    """The row of ``counts`` with ``items``: the first ``SHOWN`` of the table's rows (ord,
+    text), and a mark where there are more. Only one row more than is shown is gathered."""
+    top = items.orderBy("ord").limit(SHOWN + 1).agg(F.sort_array(F.collect_list(F.struct("ord", "text"))).alias("_top"))
+    texts = F.transform(F.slice("_top", 1, SHOWN), lambda x: x["text"])
+    more = F.when(F.size("_top") > SHOWN, F.array(F.lit("..."))).otherwise(F.expr("cast(array() as array<string>)"))
+    one = F.lit(1).alias("_one")  # a row on each side
+    return counts.select("*", one).join(top.select(F.concat(texts, more).alias("items"), one), "_one").drop("_one")
 
 
 def modifications_present(rows: DataFrame) -> DataFrame:
@@ -93,19 +97,21 @@ def zygosity_margin(rows: DataFrame) -> DataFrame:
     marked = rows.select("ord", (ploidy >= 2).alias("ok"), near.alias("near"), wide.alias("wide"), (~F.col("a1_cls").eqNullSafe(F.col("a2_cls"))).alias("differ"), text.alias("text"))
     serious = F.col("ok") & F.coalesce((F.col("near") & F.col("differ")) | F.col("wide"), F.lit(False))
     close = F.col("ok") & F.coalesce(F.col("near") & ~F.col("differ"), F.lit(False))
-    g = marked.agg(F.count_if(serious).alias("n"), F.count_if(close).alias("close"), F.count("*").alias("loci"), F.collect_list(F.when(serious, F.struct("ord", "text"))).alias("items"))
+    g = marked.agg(F.count_if(serious).alias("n"), F.count_if(close).alias("close"), F.count("*").alias("loci"))
+    g = _with_shown(g, marked.where(serious).select("ord", "text"))
     status = F.when(F.col("loci") == 0, "skip").when(F.col("n") > 0, "warn").otherwise("pass")
     message = F.when(F.col("loci") == 0, "no loci").otherwise(F.format_string("%d calls may change, %d close in one class", "n", "close"))
-    return _finding(g, "zygosity_margin", status, "heuristic", message, _shown(F.col("items")))
+    return _finding(g, "zygosity_margin", status, "heuristic", message, F.col("items"))
 
 
 def negative_evidence(rows: DataFrame) -> DataFrame:
     said = rows.where(F.col("negative_reliable").isNotNull() & ~F.col("negative_reliable").isin("", X.MISSING))
     bad = X.count(F.col("negative_reliable")) == 0
-    g = said.agg(F.count_if(bad).alias("n"), F.count("*").alias("loci"), F.collect_list(F.when(bad, F.struct("ord", F.col("locus").alias("text")))).alias("items"))
+    g = said.agg(F.count_if(bad).alias("n"), F.count("*").alias("loci"))
+    g = _with_shown(g, said.where(bad).select("ord", F.col("locus").alias("text")))
     status = F.when(F.col("loci") == 0, "skip").when(F.col("n") > 0, "warn").otherwise("pass")
     message = F.when(F.col("loci") == 0, "no negative_reliable").otherwise(F.format_string("%d of %d loci support a negative", F.col("loci") - F.col("n"), "loci"))
-    return _finding(g, "negative_evidence", status, "consistency", message, _shown(F.col("items")))
+    return _finding(g, "negative_evidence", status, "consistency", message, F.col("items"))
 
 
 CHECKS = (modifications_present, modcall_confidence, x_inactivation, per_allele_attribution, zygosity_margin, negative_evidence)

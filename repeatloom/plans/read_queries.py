@@ -110,7 +110,7 @@ def interval_join(spark, sf_dir) -> DataFrame:
     lines = t("lineitem").join(t("part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     left = lines.select(F.col("p_brand").alias("contig"), start.alias("l_start"), (start + F.col("l_quantity").cast("long")).alias("l_end"))
     right = loci(spark, sf_dir).select("locus", "contig", F.col("start_pos").alias("r_start"), F.col("end_pos").alias("r_end"))
-    hits = intervals.interval_join(left, right, width=1024, broadcast=False)
+    hits = intervals.interval_join(left, right, width=1024)
     return hits.groupBy("locus").agg(F.count("*").alias("n"), F.min("l_start").alias("first_start"), F.max("l_end").alias("last_end"))
 
 

@@ -17,13 +17,13 @@ _RIGHT = "'GTTCATAACTGACTATTCAAGTCAT'"
 
 def segments(spark, sf_dir) -> DataFrame:
     """Reads of known tracts: the locus's motif repeated between flanks that do not continue it."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_partkey").alias("locus"), F.col("l_quantity").cast("int").alias("truth")).where("truth >= 4").distinct()
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_partkey").alias("locus"), F.col("l_quantity").cast("int").alias("truth")).distinct()
     flank = lambda s: F.lit(s.strip("'"))
     return lines.join(loci(spark, sf_dir).select("locus", "unit_len", "motif"), "locus").withColumn("seq", F.concat(flank(_LEFT), F.repeat("motif", F.col("truth")), flank(_RIGHT)))
 
 
 _SEGMENTS = f"""segments as (select distinct l_partkey as locus, cast(l_quantity as int) as truth, 3 + p_size % 4 as unit_len,
-  case p_size % 4 when 0 then 'CAG' when 1 then 'AAGG' when 2 then 'AAAAG' else 'GGCCTG' end as motif from lineitem join part on p_partkey = l_partkey where l_quantity >= 4)"""
+  case p_size % 4 when 0 then 'CAG' when 1 then 'AAGG' when 2 then 'AAAAG' else 'GGCCTG' end as motif from lineitem join part on p_partkey = l_partkey)"""
 
 
 def decompose_units(spark, sf_dir) -> DataFrame:
@@ -31,7 +31,7 @@ def decompose_units(spark, sf_dir) -> DataFrame:
     return runs.select("locus", "truth", F.col("run.n_units").alias("n_units"), F.col("run.labels").alias("labels"))
 
 
-ORACLE_SQL["decompose_units"] = f"with {_SEGMENTS} select locus, truth, truth as n_units, repeat('C', truth) as labels from segments"
+ORACLE_SQL["decompose_units"] = f"with {_SEGMENTS} select locus, truth, case when truth >= 2 then truth end as n_units, case when truth >= 2 then repeat('C', truth) end as labels from segments"
 
 
 def find_regions(spark, sf_dir) -> DataFrame:
@@ -39,6 +39,9 @@ def find_regions(spark, sf_dir) -> DataFrame:
     return found.select("locus", "truth", F.explode("regions").alias("r")).select("locus", "truth", F.col("r.start").alias("start"), F.col("r.end").alias("end"))
 
 
+ORACLE_SQL["find_regions"] = f'with {_SEGMENTS} select locus, truth, 25 as start, cast(25 + truth * unit_len as int) as "end" from segments where truth >= 2'
+
+
 def tract_lengths(spark, sf_dir) -> DataFrame:
     """Longest exact run of the motif by regular expression, without a kernel."""
     from ..operators.tracts import longest_exact
@@ -51,13 +54,15 @@ ORACLE_SQL["tract_lengths"] = f"with {_SEGMENTS} select locus, truth, cast(truth
 
 
 def consensus_sequence(spark, sf_dir) -> DataFrame:
-    """Consensus of five reads a locus, two of them with an error, that recovers the tract."""
-    s = segments(spark, sf_dir).groupBy("locus").agg(F.min_by(F.struct("truth", "unit_len", "motif", "seq"), "truth").alias("s")).select("locus", "s.*")
-    reads = s.withColumn("ord", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    """Consensus of five reads of every tract, two of them with an error, that recovers it; none of one unit."""
+    reads = segments(spark, sf_dir).withColumn("ord", F.explode(F.sequence(F.lit(0), F.lit(4))))
     broken = F.concat(F.substring("seq", 1, 27), F.lit("T"), F.expr("substr(seq, 29)"))
     reads = reads.withColumn("seq", F.when(F.col("ord") >= 3, broken).otherwise(F.col("seq")))
-    made = tracts.consensus(reads, ["locus"], "seq", "unit_len", F.array("motif"), F.col("truth"))
-    return made.select("locus", "consensus", "labels")
+    made = tracts.consensus(reads, ["locus", "truth"], "seq", "unit_len", F.array("motif"), F.col("truth"))
+    return made.select("locus", "truth", "consensus", "labels")
+
+
+ORACLE_SQL["consensus_sequence"] = f"with {_SEGMENTS} select locus, truth, case when truth >= 2 then repeat(motif, truth) end as consensus, case when truth >= 2 then repeat('C', truth) end as labels from segments"
 
 
 def base_modifications(spark, sf_dir) -> DataFrame:
@@ -69,4 +74,11 @@ def base_modifications(spark, sf_dir) -> DataFrame:
     return tracts.modifications(r).select("ord", F.explode("sites").alias("s")).select("ord", "s.*")
 
 
+# forward: the first and the third cytosine; reverse: the last guanine and the one two before, refused where there is none
+ORACLE_SQL["base_modifications"] = """with r as (select p_partkey as ord, p_partkey % 5 + 1 as k, p_partkey % 2 = 1 as rev, p_partkey % 256 as likelihood from part),
+s as (select ord, case when rev then 2 + 2 * k else 1 end as qpos, 10 as likelihood from r where k >= 2 or not rev
+  union all select ord, case when rev then 2 * k - 2 when k = 1 then 6 else 5 end, likelihood from r where k >= 2 or not rev)
+select ord, cast(qpos as int) as qpos, cast(likelihood + 0.5 as double) / 256 as p_m, cast(0 as double) as p_h from s"""
+
+
 QUERIES |= {f.__name__: f for f in (decompose_units, find_regions, tract_lengths, consensus_sequence, base_modifications)}

@@ -13,25 +13,21 @@ from pyspark.sql import functions as F
 from ..plans import qc
 from ..schema import PER_READ_COLUMNS
 
-#: Reads of a locus that a page shows; the tables hold all.
-SHOWN_READS = 500
 _ORDER = {"finding": 0, "check": 1, "uninformative": 2, "normal": 3}
 _STYLE = "body{font:14px sans-serif;margin:2em}table{border-collapse:collapse}td,th{padding:2px 8px;border-bottom:1px solid #ccc;text-align:left}.finding{background:#fdd}.check{background:#ffd}.uninformative{color:#777}pre{white-space:pre-wrap;word-break:break-all}"
 _SCRIPT = "const D=JSON.parse(document.getElementById('data').textContent);document.querySelectorAll('tr[data-locus]').forEach(r=>r.onclick=()=>{const d=D[r.dataset.locus]||[];document.getElementById('reads').textContent=r.dataset.locus+'\\n'+d.map(x=>[x.read_id,x.read_class,x.allele,x.n_total_units,x.structure_string].join('\\t')).join('\\n')})"
 
 
 def payload(reads: DataFrame) -> DataFrame:
-    """(locus, reads): each locus's reads nested as JSON, the longest first.
+    """(locus, reads): each locus's reads nested as JSON, by falling size, then by name.
 
-    Reads beyond ``SHOWN_READS`` are left to the table: a page is for looking at.
+    A read's size is its units, of a partial read its lower bound; none comes last.
     """
-    from pyspark.sql import Window
-
-    units = F.coalesce(F.try_to_number("n_total_units", F.lit("999999")).cast("int"), F.lit(-1))
-    w = Window.partitionBy("locus").orderBy(F.desc("_units"), "read_id")
-    top = reads.withColumn("_units", units).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= SHOWN_READS)
-    nested = F.transform(F.sort_array(F.collect_list(F.struct("_r", F.struct(*PER_READ_COLUMNS).alias("read")))), lambda x: x["read"])
-    return top.groupBy("locus").agg(F.to_json(nested).alias("reads"))
+    number = lambda c: F.try_to_number(c, F.lit("999999")).cast("int")
+    units = F.coalesce(number("n_total_units"), number("lower_bound_units"), F.lit(-1))
+    rows = F.collect_list(F.struct((-units).alias("key"), "read_id", F.struct(*PER_READ_COLUMNS).alias("read")))
+    nested = F.transform(F.sort_array(rows), lambda x: x["read"])
+    return reads.groupBy("locus").agg(F.to_json(nested).alias("reads"))
 
 
 def report_date() -> str:

@@ -13,7 +13,7 @@ from ..functions import text as X
 def per_read(reads: DataFrame, loci: DataFrame) -> DataFrame:
     """The 34 text columns of every read's row, with ``locus_ord`` and ``read_ord`` to sort by."""
     place = loci.select(F.col("id").alias("locus"), F.col("ord").alias("locus_ord"), "gene_strand")
-    r = reads.join(F.broadcast(place), "locus")
+    r = reads.join(place, "locus")
     c = F.col
     label = lambda x: F.when(c("labels").isNotNull(), F.length("labels") - F.length(F.replace("labels", F.lit(x), F.lit(""))))
     spots = F.filter(F.sequence(F.lit(1), F.length("labels")), lambda i: F.substring("labels", i, F.lit(1)) == "I")

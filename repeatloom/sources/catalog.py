@@ -31,14 +31,19 @@ def of_length(motifs: Column, n: Column) -> Column:
 
 
 def load(spark: SparkSession, path: str, build: str = "hg38", overlay: dict | None = None) -> DataFrame:
-    """Loci of a JSON array of records, a row each in file order (``ord``).
+    """Loci of a JSON array of records, a row each in file order (``ord``)."""
+    raw = spark.read.schema(record_schema()).option("multiLine", True).json(path)
+    return from_records(raw.withColumn("ord", F.monotonically_increasing_id()), build, overlay)
+
+
+def from_records(raw: DataFrame, build: str = "hg38", overlay: dict | None = None) -> DataFrame:
+    """Loci of records as ``record_schema`` has them, with ``ord``.
 
     Records without an interval in the build, or without a motif of the unit's length,
     are dropped; of records with one id the last counts. overlay: as ``read_overlay`` gives.
     """
     if build not in S.BUILDS:
         raise ValueError(f"unknown build {build}: one of {', '.join(S.BUILDS)}")
-    raw = spark.read.schema(record_schema()).option("multiLine", True).json(path).withColumn("ord", F.monotonically_increasing_id())
     last = Window.partitionBy("id").orderBy(F.desc("ord"))
     raw = raw.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_r")
     n = F.col("motif_len").cast("int")

@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where it is not set (local tests)."""
+    """``spark.checkpoint.dir``; a temporary folder only where it is not set, in local mode."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         kept = getattr(spark.sparkContext, "_repeatloom_dir", None)
         if kept is None:
             kept = tempfile.mkdtemp(prefix="repeatloom-")

@@ -4,7 +4,7 @@ import struct
 import zlib
 
 import pytest
-from synthetic import END, START, reads
+from synthetic import CONTIG, END, SIZE, START, reads
 
 from repeatloom.sources import bam
 
@@ -23,7 +23,7 @@ def record(row, long_cigar=False):
         tags += b"MMZ" + mm.encode() + b"\0" + b"MLBC" + struct.pack("<i", len(ml)) + bytes(ml)
     if long_cigar:
         tags += b"CGBI" + struct.pack("<i", len(words)) + struct.pack(f"<{len(words)}I", *words)
-        words = [len(seq) << 4 | 4, 860 << 4 | 3]
+        words = [len(seq) << 4 | 4, sum(n for op, n in cigar if op == 0) << 4 | 3]
     codes = [bam.BASES.index(c) for c in seq] + [0]
     packed = bytes(codes[k] << 4 | codes[k + 1] for k in range(0, len(seq), 2))
     ref = -1 if contig is None else 0
@@ -36,7 +36,7 @@ def files(tmp_path_factory):
     rows = sorted(reads(), key=lambda r: r[4])
     path = tmp_path_factory.mktemp("bam") / "s.bam"
     text = b"@HD\tVN:1.6\n@RG\tID:a\tSM:SYNTH\n"
-    head = b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<ii", 1, 5) + b"chrT\0" + struct.pack("<i", 8000)
+    head = b"BAM\1" + struct.pack("<i", len(text)) + text + struct.pack("<ii", 1, 5) + CONTIG.encode() + b"\0" + struct.pack("<i", SIZE)
     out, windows, offsets = block(head), {}, []
     for k, row in enumerate(rows):  # a block a record
         offsets.append(len(out) << 16)
@@ -54,13 +54,13 @@ def files(tmp_path_factory):
 def test_reads_come_back(spark, files):
     path, rows = files
     bam.register(spark)
-    assert bam.sample_name(str(path)) == "SYNTH" and bam.header(str(path))[1] == [("chrT", 8000)]
+    assert bam.sample_name(str(path)) == "SYNTH" and bam.header(str(path))[1] == [(CONTIG, SIZE)]
     got = spark.read.format("bam").load(str(path)).orderBy("ord").collect()
     assert [r.name for r in got] == [r[1] for r in rows] + ["lost"] and got[-1].contig is None
     for g, r in zip(got, rows):
         assert (g.flag, g.pos, g.mapq, g.seq, g.hp, g.mm) == (r[2], r[4], r[5], r[7], r[8], r[9])
         assert [(c.op, c.len) for c in g.cigar] == r[6] and (g.ml or None) == (r[10] or None)
-    some = spark.read.format("bam").load(str(path)).where(f"contig = 'chrT' and pos < {END}").collect()
+    some = spark.read.format("bam").load(str(path)).where(f"contig = '{CONTIG}' and pos < {END}").collect()
     assert len(some) == sum(r[4] < END for r in rows) and START > 0
 
 

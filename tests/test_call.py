@@ -2,7 +2,7 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
-from synthetic import CATALOG, END, MOTIF, REF, START, reads
+from synthetic import AFTER, BEFORE, CATALOG, CONTIG, END, LEAD, LOCUS, LONG, MOTIF, REF, SHORT, SPLIT, START, TAIL, reads
 
 from repeatloom import schema as S
 from repeatloom.kernels import geometry as G
@@ -25,9 +25,9 @@ def called(spark, loci):
 
 def test_catalogue(loci):
     rows = {r.id: r for r in loci.collect()}
-    assert set(rows) == {"FXS_FMR1", "EMPTY"}  # a record without a motif of the unit's length is dropped
-    assert rows["FXS_FMR1"].regime == "expansion" and not rows["FXS_FMR1"].composition and rows["FXS_FMR1"].interruption_motifs == ["AGG"]
-    assert rows["EMPTY"].composition and rows["EMPTY"].gene_motif == "CCTT"
+    assert set(rows) == {LOCUS, "NO_READS"}  # a record without a motif of the unit's length is dropped
+    assert rows[LOCUS].regime == "expansion" and not rows[LOCUS].composition and rows[LOCUS].interruption_motifs == ["CGGTT"]
+    assert rows["NO_READS"].composition and rows["NO_READS"].gene_motif == "GCCTAA"
 
 
 def test_derived_columns(spark, tmp_path):
@@ -45,34 +45,38 @@ def test_derived_columns(spark, tmp_path):
 
 
 def test_overlay(loci):
-    over = {"loci": {"FXS_FMR1": {"aliases": ["FRAXA"], "interruptions_gene": ["TGG"], "bands": [{"upper": 44, "label": "normal"}, {"upper": None, "label": "full mutation"}]}}}
-    r = {x.id: x for x in catalog.with_overlay(loci, over).collect()}["FXS_FMR1"]
-    assert r.aliases == ["FRAXA"] and r.interruption_motifs == ["TGG"] and r.unused_interruptions == ["AGG", "CTGA"] and r.bands[1].label == "full mutation"
-    found = catalog.lookup(catalog.with_overlay(loci, over), ["fraxa", "g2"])
-    assert {(x.id, x.key) for x in found.collect()} == {("FXS_FMR1", "fraxa"), ("EMPTY", "g2")}
-    assert catalog.unknown_keys(loci, ["FMR1", "nope"]) == ["nope"]
+    over = {"loci": {LOCUS: {"aliases": ["ZEBRA"], "interruptions_gene": ["CGCTT"], "bands": [{"upper": 44, "label": "normal"}, {"upper": None, "label": "full mutation"}]}}}
+    r = {x.id: x for x in catalog.with_overlay(loci, over).collect()}[LOCUS]
+    assert r.aliases == ["ZEBRA"] and r.interruption_motifs == ["CGCTT"] and r.unused_interruptions == ["CGGTT", "CGTT"] and r.bands[1].label == "full mutation"
+    found = catalog.lookup(catalog.with_overlay(loci, over), ["zebra", "toy2"])
+    assert {(x.id, x.key) for x in found.collect()} == {(LOCUS, "zebra"), ("NO_READS", "toy2")}
+    assert catalog.unknown_keys(loci, ["TOY1", "nope"]) == ["nope"]
 
 
 def test_reads(called):
     rows = {(r.name, r.read_class): r for r in called["reads"].collect()}
     kinds = [k for _, k in rows]
-    assert (kinds.count("spanning"), kinds.count("left_partial"), kinds.count("split")) == (18, 3, 3) and len(kinds) == 24
-    assert all(r.units == (30 if n[0] == "n" else 90) and r.allele == (1 if n[0] == "n" else 2) for (n, k), r in rows.items() if k == "spanning")
-    assert all(r.units == 120 and r.allele is None for (_, k), r in rows.items() if k == "split")
-    assert all(r.lower_bound == 150 for (_, k), r in rows.items() if k == "left_partial")
-    low, high = (rows[(n, "spanning")].tract for n in ("n1", "p1"))
-    assert low.frac == 0 and high.frac == 1 and low.n == 30 and high.n == 90 and rows[("p0", "spanning")].tract.frac == 1
+    assert (kinds.count("spanning"), kinds.count("right_partial"), kinds.count("split")) == (SHORT[1] + LONG[1], TAIL[1], SPLIT[1]) and len(kinds) == 25
+    for (name, kind), r in rows.items():
+        if kind == "spanning":
+            assert (r.units, r.allele) == ((SHORT[0], 1) if name.startswith("short") else (LONG[0], 2))
+            assert r.tract.n == r.units and r.tract.frac == (r.allele == 1)  # a cytosine a unit, on both strands
+        elif kind == "split":
+            assert r.units == SPLIT[0] and r.allele is None
+        else:
+            assert r.lower_bound == TAIL[0] and r.units is None
 
 
 def test_locus_row(called):
     rows = {r.id: r for r in called["loci"].collect()}
-    r = rows["FXS_FMR1"]
-    assert r.method == "HP" and (r.n_reads, r.n_spanning, r.n_split, r.n_partial, r.n_no_run) == (24, 18, 3, 3, 0)
-    assert (r.a1.median, r.a2.median, r.a1.cls, r.a2.cls) == (30, 90, "benign", "intermediate")
-    assert r.a1.structure == "C" * 30 and r.a2.seq == "CGG" * 90 and r.a1.meth_tract == 0 and r.a2.meth_tract_pooled == 1
-    assert (r.bound, r.support, r.evidence) == (150, 3, "PARTIALS_PRESENT") or (r.bound, r.support) == (150, 3)
-    assert r.tagged_fraction == 1 and r.detectability == pytest.approx(24 / 24 if all(len(x[7]) >= 3 * 201 + 300 for x in reads()[:1]) else r.detectability)
-    empty = rows["EMPTY"]
+    r = rows[LOCUS]
+    assert r.method == "HP" and (r.n_reads, r.n_spanning, r.n_split, r.n_partial, r.n_no_run) == (25, 19, 2, 4, 0)
+    assert (r.a1.median, r.a2.median, r.a1.cls, r.a2.cls) == (SHORT[0], LONG[0], "benign", "intermediate")
+    assert r.a1.structure == "C" * SHORT[0] and r.a2.seq == MOTIF * LONG[0] and r.a1.meth_tract == 1 and r.a2.meth_tract_pooled == 0
+    assert (r.bound, r.support, r.evidence, r.negative_reliable) == (SPLIT[0], SPLIT[1], "EXPANSION_LB", False)
+    needed = 51 * len(MOTIF) + 2 * (100 + 50)
+    assert r.tagged_fraction == 1 and r.detectability == pytest.approx(sum(len(x[7]) >= needed for x in {y[1]: y for y in reads()[:-3]}.values()) / 25)
+    empty = rows["NO_READS"]
     assert empty.method == "none" and empty.a1 is None and empty.notes == "no spanning or split reads" and empty.evidence == "NONE"
 
 
@@ -86,9 +90,9 @@ def test_contig_names(spark, loci):
     some = spark.createDataFrame([("chr1",), ("chrM",), ("T",), ("chr9",)], "contig string")
     found = {x.contig: x.found_contig for x in catalog.resolve_contigs(some, named).collect()}
     assert found == {"chr1": "1", "chrM": "MT", "T": "chrT", "chr9": None}
-    bare = spark.createDataFrame(reads(), S.READS).withColumn("contig", F.lit("T"))
-    rows = {r.id: r for r in call(bare, loci, S.Options(), "s", spark.createDataFrame([("T",)], "contig string"))["loci"].collect()}
-    assert rows["FXS_FMR1"].n_spanning == 18 and rows["EMPTY"].notes == "contig chrU not in the alignment"
+    bare = spark.createDataFrame(reads(), S.READS).withColumn("contig", F.concat(F.lit("chr"), "contig"))
+    rows = {r.id: r for r in call(bare, loci, S.Options(), "s", spark.createDataFrame([(f"chr{CONTIG}",)], "contig string"))["loci"].collect()}
+    assert rows[LOCUS].n_spanning == 19 and rows["NO_READS"].notes == "contig ctgB not in the alignment"
 
 
 def test_functions_in_sql(spark):
@@ -100,9 +104,9 @@ def test_functions_in_sql(spark):
 
 
 def test_homozygote_is_given_twice(spark, loci):
-    some = [r for r in reads() if r[1].startswith("n")]
-    r = call(spark.createDataFrame([(*x[:8], 0, *x[9:]) for x in some], S.READS), loci)["loci"].where("id = 'FXS_FMR1'").first()
-    assert r.method == "GMM" and r.a1.median == r.a2.median == 30 and r.a1.n == r.a2.n == 10
+    some = [r for r in reads() if r[1].startswith("short")]
+    r = call(spark.createDataFrame([(*x[:8], 0, *x[9:]) for x in some], S.READS), loci)["loci"].where(F.col("id") == LOCUS).first()
+    assert r.method == "GMM" and r.a1.median == r.a2.median == SHORT[0] and r.a1.n == r.a2.n == SHORT[1]
 
 
 def test_geometry():
@@ -114,5 +118,6 @@ def test_geometry():
     assert G.Alignment(0, ((5, 3), (0, 10)), True).own_coordinate(2) == 13 - 1 - 5
     assert G.period_flanks("TTCGCGCGCGAA", 0, 4, 8, 2, 5) == (2, 2)
     assert G.size_bounds(100, 160, 50, 100, (0, 0)) == (50, 210) and G.size_bounds(100, 160, 50, 100, (60, 0)) == (39, 210)
-    o = G.observe(G.Alignment(START - 400, ((0, 400), (1, 30), (0, 460)), False), REF[START - 400 : START] + MOTIF * 30 + REF[END : END + 400], START, END, 50, 100, 50, 12)
-    assert (o.kind, o.size_bp, o.window) == ("spanning", 90, (12, 102))
+    cigar = ((0, BEFORE + LEAD), (1, 25), (0, END - START - LEAD + AFTER))
+    o = G.observe(G.Alignment(START - BEFORE, cigar, False), REF[START - BEFORE : START] + MOTIF * 14 + REF[END : END + AFTER], START, END, 50, 100, 50, 12)
+    assert (o.kind, o.size_bp, o.window) == ("spanning", 70, (12, 82))

@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from synthetic import CATALOG, REF, reads
+from synthetic import CATALOG, CONTIG, COPIES, END, LOCUS, LONG, MOTIF, REF, SHORT, START, reads
 
 from repeatloom import cli
 from repeatloom import schema as S
@@ -12,10 +12,10 @@ from repeatloom.sinks import vcf
 def made(spark, tmp_path_factory):
     d = tmp_path_factory.mktemp("cli")
     (d / "c.json").write_text(json.dumps(CATALOG))
-    (d / "o.yaml").write_text("sources: {s1: {kind: paper, citation: c}}\nloci: {FXS_FMR1: {aliases: [FRAXA], bands: [{upper: 44, label: normal}, {upper: null, label: full}]}}\ndiscrepancies: [{locus: X, kind: k}]\n")
+    (d / "o.yaml").write_text("sources: {s1: {kind: paper, citation: c}}\nloci: {TOY_MOTIF: {aliases: [ZEBRA], bands: [{upper: 44, label: normal}, {upper: null, label: full}]}}\ndiscrepancies: [{locus: X, kind: k}]\n")
     lines = [REF[k : k + 80] for k in range(0, len(REF), 80)]
-    (d / "ref.fa").write_text(">chrT\n" + "\n".join(lines) + "\n")
-    (d / "ref.fa.fai").write_text(f"chrT\t{len(REF)}\t6\t80\t81\n")
+    (d / "ref.fa").write_text(f">{CONTIG}\n" + "\n".join(lines) + "\n")
+    (d / "ref.fa.fai").write_text(f"{CONTIG}\t{len(REF)}\t6\t80\t81\n")
     spark.createDataFrame(reads(), S.READS).write.parquet(str(d / "SYNTH.parquet"))
     assert cli.main(["call", str(d / "SYNTH.parquet"), "--catalog", str(d / "c.json"), "--reference", str(d / "ref.fa"), "--out", str(d / "r"), "--vcf"]) == 0
     return d
@@ -28,20 +28,20 @@ def table(path):
 
 def test_tables(made):
     head, rows = table(made / "r.loci.tsv")
-    assert head == S.locus_header() and len(head) == 75 and [r["locus"] for r in rows] == ["FXS_FMR1", "EMPTY"]
+    assert head == S.locus_header() and len(head) == 75 and [r["locus"] for r in rows] == [LOCUS, "NO_READS"]
     r = rows[0]
-    assert (r["a1_median"], r["a2_median"], r["method"], r["n_spanning"], r["tagged_fraction"], r["a1_meth_tract"]) == ("30.0", "90.0", "HP", "18", "1.00", "0.000")
+    assert (r["a1_median"], r["a2_median"], r["method"], r["n_spanning"], r["tagged_fraction"], r["a1_meth_tract"]) == ("14.0", "37.0", "HP", "19", "1.00", "1.000")
     assert rows[1]["a1_median"] == "." and rows[1]["method"] == "none" and rows[1]["ref_copies"] == "."
     head, rows = table(made / "r.per_read.tsv")
-    assert head == S.PER_READ_COLUMNS and len(head) == 34 and len(rows) == 24
-    assert {r["read_class"] for r in rows} == {"spanning", "split", "left_partial"} and rows[0]["n_total_units"] in ("30", "90")
+    assert head == S.PER_READ_COLUMNS and len(head) == 34 and len(rows) == 25
+    assert {r["read_class"] for r in rows} == {"spanning", "split", "right_partial"} and rows[0]["n_total_units"] in ("14", "37")
 
 
 def test_vcf(made):
     text = (made / "r.vcf").read_text().splitlines()
     assert text[0] == "##fileformat=VCFv4.5" and sum(x.startswith("##INFO") for x in text) == 18 and sum(x.startswith("##FORMAT") for x in text) == 16
     first, second = (x.split("\t") for x in text if not x.startswith("#"))
-    assert first[3] == "T" + "CGG" * 20 and first[4] == f"T{'CGG' * 30},T{'CGG' * 90}" and first[6] == "PASS" and first[9].split(":")[0] == "1|2"
+    assert first[3] == "A" + MOTIF * COPIES and first[4] == f"A{MOTIF * SHORT[0]},A{MOTIF * LONG[0]}" and first[6] == "PASS" and first[9].split(":")[0] == "1|2"
     assert second[4] == "." and second[6] == "NOREADS" and second[9].split(":")[0] == "."
 
 
@@ -59,7 +59,7 @@ def test_styles(tmp_path):
 
 def test_report_and_qc(made, capsys):
     page = (made / "r.html").read_text()
-    assert "FXS_FMR1" in page and '"read_id": "n0"' in page
+    assert LOCUS in page and '"read_id": "short-0"' in page
     code = cli.main(["qc", str(made / "r.loci.tsv"), "--tsv", str(made / "f.tsv"), "--strict"])
     out = capsys.readouterr().out
     assert code == 1 and "6 checks: 0 failed" in out and len((made / "f.tsv").read_text().splitlines()) == 7
@@ -68,9 +68,9 @@ def test_report_and_qc(made, capsys):
 def test_listings(made, capsys):
     base = ["--catalog", str(made / "c.json"), "--overlay", str(made / "o.yaml")]
     assert cli.main(["loci", *base, "--regime", "expansion"]) == 0
-    assert "FXS_FMR1" in capsys.readouterr().out
-    assert cli.main(["bed", *base, "--flank", "50", "--locus", "fraxa"]) == 0
-    assert capsys.readouterr().out == "chrT\t3950\t4110\tFXS_FMR1\n"
+    assert LOCUS in capsys.readouterr().out
+    assert cli.main(["bed", *base, "--flank", "50", "--locus", "zebra"]) == 0
+    assert capsys.readouterr().out == f"{CONTIG}\t{START - 50}\t{END + 50}\t{LOCUS}\n"
     cli.main(["bed", *base, "--merge"])
     assert capsys.readouterr().out.count("\n") == 2
     with pytest.raises(SystemExit):

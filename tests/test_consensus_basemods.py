@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from repeatloom.kernels import basemods as B
@@ -23,7 +25,11 @@ def test_votes_restore_the_tract():
 def test_tokens_are_cut_in_one_phase():
     m = Motifs(3, ("CAG",))
     (read,) = reads_of(m, [LEFT + "CAG" * 3 + "CA" + "CAG" * 4 + RIGHT], (5, 28), 8)
-    assert C.cut(read.seq, C.framed_units(m, read), 3, 0) == ["CAG", "CAG", "CAG", "CAC", "AG", "CAG", "CAGC"]
+    ballot = C.Ballot(m, read).cut(0)
+    assert ballot.tokens == ["CAG", "CAG", "CAG", "CAC", "AG", "CAG", "CAGC"] and ballot.framed == (True, False)
+    assert "".join(ballot.tokens) == read.seq
+    turned = C.Ballot(m, read).cut(1)
+    assert "".join(turned.tokens) == read.seq and turned.tokens[1] == "AGC"
 
 
 @pytest.mark.parametrize("units, found, short", [(30, 30, 0), (30, 27, 0), (30, 26, 1), (5, 4, 0), (5, 3, 1)])
@@ -31,12 +37,48 @@ def test_shortfall(units, found, short):
     assert C.shortfall(units, found) == short
 
 
-def test_star_and_alignment():
-    assert C.star(["ACGT", "ACGA", "ACG"]) in ("ACGT", "ACGA", "ACG")
-    assert C.star(["AACC", "AATCC", "AAGCC"]) == "AACC" or C.star(["AACC", "AATCC", "AAGCC"]).startswith("AA")
-    column, inserted = C.align("ACGT", "AGGTT")
-    assert len(column) == 4 and len(inserted) == 5
-    assert C.tokens_of(4, 3) == 1 and C.tokens_of(5, 3) == 2 and C.tokens_of(1, 3) == 0
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(before + (x != y), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
+def test_alignment_is_a_shortest_edit():
+    r = random.Random(1)
+    for _ in range(300):
+        a, b = ("".join(r.choice("ACG") for _ in range(r.randint(0, 9))) for _ in range(2))
+        at, before = C.align(a, b)
+        assert len(at) == len(a) and len(before) == len(a) + 1
+        assert "".join(x for pair in zip(before, [*at, ""]) for x in pair).replace("-", "") == b
+        edits = sum(map(len, before)) + sum(x != y for x, y in zip(at, a))
+        assert edits == edit_distance(a, b) == C.distances(a, b)[-1, -1]
+
+
+def test_settled_places():
+    assert C.settle(["ACGT", "ACGA", "ACG"]) == "ACGT"  # the first of equally central tokens
+    assert C.settle(["AACC", "AATCC", "AAGCC"]) == "AACC"  # no insertion has most votes but none
+    assert C.settle(["CAG", "CTG", "CCG"]) == "CAG" and C.settle(["CAG"]) == "CAG"
+    assert C.units_in(4, 3) == 1 and C.units_in(5, 3) == 2 and C.units_in(1, 3) == 0
+
+
+def test_weights_are_repeated_reads():
+    r, m = random.Random(2), Motifs(3, ("CAG",), interruption=("CAA",))
+    for _ in range(60):
+        made = []
+        for _ in range(r.randint(2, 5)):
+            tract = list("CAG" * 6 + "CAA" + "CAG" * 5)
+            for _ in range(r.randint(0, 3)):
+                k = r.randrange(len(tract))
+                tract[k : k + 1] = r.choice(["", "T", "GT", tract[k]])
+            made.append(LEFT + "".join(tract) + RIGHT)
+        reads = reads_of(m, made, (5, 41), 12)
+        weights = [r.randint(1, 3) for _ in reads]
+        once = C.consensus([C.Read(x.seq, x.run, x.units, w) for x, w in zip(reads, weights)], m, 0)
+        first = [sum(weights[:k]) for k in range(len(reads))]
+        assert once == C.consensus([x for x, w in zip(reads, weights) for _ in range(w)], m, first[0])
 
 
 SEQ = "ACGCGTCCA"

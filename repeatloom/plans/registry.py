@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import locus_queries, read_queries, sequence_queries, table_queries
+from . import call_queries, locus_queries, read_queries, sequence_queries, table_queries
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
-for _module in (locus_queries, read_queries, sequence_queries, table_queries):
+for _module in (call_queries, locus_queries, read_queries, sequence_queries, table_queries):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL

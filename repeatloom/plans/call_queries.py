@@ -218,8 +218,8 @@ _COUNTED = {c: "'0'" for c in S.PER_READ_COLUMNS if c.startswith("n_5mc")}
 ORACLE_SQL["call_per_read"] = f"with {_READS} select {', '.join((_READ | _COUNTED).get(c, chr(39) + '.' + chr(39)) + ' as ' + c for c in S.PER_READ_COLUMNS)} from reads where nth < 11"
 ORACLE_SQL["call_report_reads"] = f"""with {_READS} select id as locus, string_agg(concat_ws(':', name, {_READ['read_class']}, {_READ['allele']}, {_READ['n_total_units']}, {_READ['lower_bound_units']}, labels), ',' order by units desc, name) as reads
   from reads where nth < 11 group by id"""
-ORACLE_SQL["call_observations"] = f"""with {_READS} select id as locus, k * 100 + nth as ord, name, flag = 16 as reverse, 60 as mapq, hp, read_length, case when what <= 2 then 'spanning' when nth = 11 then 'right_partial' else 'left_partial' end as read_class,
-  case when what <= 2 then units * unit end as size_bp, labels, run_seq, 'C' || motif as phase, case when what > 2 then units end as lower_bound from reads"""
+ORACLE_SQL["call_observations"] = f"""with {_READS} select id as locus, k * 100 + nth as ord, name, flag = 16 as reverse, 60 as mapq, hp, cast(read_length as bigint) as read_length, case when what <= 2 then 'spanning' when nth = 11 then 'right_partial' else 'left_partial' end as read_class,
+  case when what <= 2 then cast(units * unit as bigint) end as size_bp, labels, run_seq, 'C' || motif as phase, case when what > 2 then units end as lower_bound from reads"""
 
 _BOTH = "printf('%.1f,%.1f', cast(u1 as double), cast(u2 as double))"
 _SPREADS = "u1 || '-' || u1 || ',' || u2 || '-' || u2"

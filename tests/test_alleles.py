@@ -71,3 +71,52 @@ def test_mixture_fit_recovers_components():
     fit = A.fit_mixture(x, np.ones(500, int), 2)
     assert sorted(fit.mu) == pytest.approx([20, 50], abs=0.5) and sorted(fit.w) == pytest.approx([0.4, 0.6], abs=0.02)
     assert fit.bic < A.fit_mixture(x, np.ones(500, int), 1).bic
+
+
+def plain_mixture(reads, k):
+    """Expectation maximisation read by read, in plain loops."""
+    import math
+
+    n, mean = len(reads), sum(reads) / len(reads)
+    start = sorted(reads)
+
+    def at(q):
+        place = q * (n - 1)
+        low = math.floor(place)
+        return start[low] + (place - low) * (start[min(low + 1, n - 1)] - start[low])
+
+    mu = [at((j + 0.5) / k) for j in range(k)]
+    var = [max(sum((x - mean) ** 2 for x in reads) / n, A.QUANT_VAR)] * k
+    w, before = [1 / k] * k, -math.inf
+    for _ in range(A.ITERATIONS):
+        shares, now = [], 0.0
+        for x in reads:
+            p = [w[j] * math.exp(-((x - mu[j]) ** 2) / (2 * var[j])) / math.sqrt(2 * math.pi * var[j]) for j in range(k)]
+            now += math.log(sum(p))
+            shares.append([v / sum(p) for v in p])
+        for j in range(k):
+            nk = sum(s[j] for s in shares) + A.EPSILON
+            w[j], mu[j] = nk / n, sum(s[j] * x for s, x in zip(shares, reads)) / nk
+            least = max(A.QUANT_VAR, (A.REL_SD * max(mu[j], 1.0)) ** 2)
+            var[j] = max(sum(s[j] * (x - mu[j]) ** 2 for s, x in zip(shares, reads)) / nk, least)
+        if now - before < A.GAIN:
+            break
+        before = now
+    return mu, [math.sqrt(v) for v in var], w, now, -2 * now + (3 * k - 1) * math.log(max(n, 2))
+
+
+def test_batched_fits_equal_plain_loops():
+    """Means, deviations, weights, likelihood and criterion within 1e-6, fitted in one batch."""
+    r = np.random.default_rng(11)
+    for k in (1, 2, 3, 4):
+        cases = [np.rint(np.concatenate([r.normal(c, r.uniform(0.3, 2), r.integers(2, 9)) for c in np.cumsum(r.uniform(4, 12, r.integers(1, 4))) + 5])) for _ in range(25)]
+        cases = [c for c in cases if len(c) >= 3 * k]
+        cells = [np.unique(c, return_counts=True) for c in cases]
+        width = max(len(v) for v, _ in cells)
+        x, n = np.zeros((len(cells), width)), np.zeros((len(cells), width), int)
+        for i, (v, c) in enumerate(cells):
+            x[i, : len(v)], n[i, : len(v)] = v, c
+        for fit, reads in zip(A.fit_mixtures(x, n, k), cases):
+            mu, sd, w, ll, bic = plain_mixture(reads.tolist(), k)
+            for got, want in ((fit.mu, mu), (fit.sd, sd), (fit.w, w), ([fit.ll], [ll]), ([fit.bic], [bic])):
+                assert np.allclose(got, want, rtol=1e-6, atol=1e-9)

@@ -361,6 +361,7 @@ def notes() -> Column:
         wide(2),
         period(1),
         period(2),
+        F.when(~F.col("in_reference"), F.concat(F.lit("contig "), F.col("contig"), F.lit(" not in the reference"))),
         F.array_join(F.transform(dropped, lambda u: F.concat(u["class"], F.lit(" motif "), u["motif"], F.lit(" not matched: "), u["reason"])), "; "),
     )
 
@@ -394,5 +395,6 @@ def complete(loci: DataFrame) -> DataFrame:
         "unused_motifs": F.expr("cast(array() as array<struct<class:string,motif:string,reason:string>>)"),
         "bands": F.expr("cast(array() as array<struct<upper:double,label:string>>)"),
         "composition": F.lit(False),
+        "in_reference": F.lit(True),
     }
     return loci.withColumns({k: v for k, v in wanted.items() if k not in loci.columns})

@@ -41,12 +41,15 @@ def _merged(df: DataFrame, keys: list[str]) -> DataFrame:
 def merge_intervals(df: DataFrame, order: str = "ord", width: int = 1 << 20) -> DataFrame:
     """Intervals of a contig that touch or overlap, as one: (contig, start, end, names).
 
-    df: contig, start, end, name and an order that breaks ties of (contig, start). They are
+    df: contig, start, end, name and an order that breaks ties of (contig, start); with a
+    ``motif``, that of the first interval is given too. They are
     merged among those that start in one bin of ``width`` first, which splits a contig
     over tasks; what is left, of which a dense bin has few, is merged by contig.
     """
-    one = F.array(F.struct("start", F.col(order).alias("ord"), "name")).alias("members")
+    more = [c for c in ("motif",) if c in df.columns]
+    one = F.array(F.struct("start", F.col(order).alias("ord"), "name", *more)).alias("members")
     binned = df.select("contig", F.floor(F.col("start") / width).alias("_bin"), "start", "end", one)
     whole = _merged(_merged(binned, ["contig", "_bin"]).drop("_bin"), ["contig"])
     names = F.array_join(F.transform(F.sort_array("members"), lambda s: s["name"]), ",")
-    return whole.select("contig", "start", "end", names.alias("names"))
+    first = [F.array_min("members")[c].alias(c) for c in more]
+    return whole.select("contig", "start", "end", *first, names.alias("names"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..operators import genotype
+from ..operators import genotype, intervals
 from ..sinks import report, tables, vcf
 from ..sources import catalog
 
@@ -148,6 +148,27 @@ def catalog_bed(spark, sf_dir) -> DataFrame:
     return catalog.bed(loci(spark, sf_dir), 50).drop("ord")
 
 
+@query
+def catalog_listing_text(spark, sf_dir) -> DataFrame:
+    """The catalogue as the command line lists it."""
+    return catalog.listing(loci(spark, sf_dir)).drop("ord")
+
+
+@query
+def catalog_unmatched(spark, sf_dir) -> DataFrame:
+    """Motifs that no unit can match, and records that are left out (with an interval in the first build only)."""
+    raw = records(spark, sf_dir)
+    out = catalog.dropped(raw.withColumn("start_hg38", F.when(F.col("ord") % 7 != 0, F.col("start_hg38"))))
+    told = catalog.told_motifs(loci(spark, sf_dir)).select("id", F.concat_ws(" ", "class", "motif", "reason").alias("told"))
+    return told.unionByName(out.select("id", F.lit("dropped").alias("told")))
+
+
+@query
+def bed_merge_catalog(spark, sf_dir) -> DataFrame:
+    """Padded intervals of the loaded catalogue, merged: neighbours on a contig are 66,000 bases apart."""
+    return intervals.merge_intervals(catalog.bed(loci(spark, sf_dir), 33_000))
+
+
 @query
 def catalog_aliases(spark, sf_dir) -> DataFrame:
     """Loci by id, gene or alias, whatever the case."""
@@ -240,6 +261,14 @@ select concat_ws(chr(9), contig, start_pos, id, 'N', case when same then '<CNV:T
 ORACLE_SQL["catalog_records"] = f"""with {_MADE} select id, gene, contig, start_pos, end_pos, gene_strand, unit as unit_len, motif as ref_motifs, gene_motif, case when size % 4 = 0 then 'CAA' else '' end as interruption_motifs, regime,
   false as composition, false as meth_relevant, cast(bmin as double) as bmin, cast(bmax as double) as bmax, cast(imin as double) as imin, cast(imax as double) as imax, cast(pmin as double) as pmin, cast(pmax as double) as pmax,
   cast(copies as double) as ref_copies, case when size % 4 = 0 then 'interruption:CA:2 bp against a unit of 3' else '' end as unused from done"""
-ORACLE_SQL["catalog_bed"] = f'with {_MADE} select contig, greatest(start_pos - 50, 0) as start, end_pos + 50 as "end", id as name from done'
+ORACLE_SQL["catalog_bed"] = f'with {_MADE} select contig, greatest(start_pos - 50, 0) as start, end_pos + 50 as "end", motif, id as name from done'
+ORACLE_SQL["catalog_listing_text"] = f"""with {_MADE} select id, gene, contig as chrom, cast(start_pos as varchar) as start, cast(end_pos as varchar) as "end", gene_strand as strand, gene_motif as motif_gene, motif as motif_ref, cast(unit as varchar) as unit_len,
+  regime, '0' as composition, cast(bmax as varchar) as benign_max, case when imin is null then '.' else imin || '-' || imax end as intermediate, coalesce(cast(pmin as varchar), '.') as pathogenic_min, coalesce(cast(pmax as varchar), '.') as pathogenic_max,
+  '0' as meth_relevant, '0' as meth_up_bp, '0' as meth_down_bp, '' as aliases from done"""
+ORACLE_SQL["catalog_unmatched"] = f"""with {_MADE} select id, 'interruption CA 2 bp against a unit of 3' as told from done where size % 4 = 0 union all select id, 'dropped' from done where k % 7 = 0"""
+ORACLE_SQL["bed_merge_catalog"] = f"""with {_MADE}, p as (select contig, greatest(start_pos - 33000, 0) as s, end_pos + 33000 as e, motif, id, k from done),
+  o as (select *, max(e) over (partition by contig order by s, k rows between unbounded preceding and 1 preceding) as before from p),
+  g as (select *, sum(case when before is null or s > before then 1 else 0 end) over (partition by contig order by s, k) as grp from o)
+  select contig, min(s) as start, max(e) as "end", arg_min(motif, k) as motif, string_agg(id, ',' order by s, k) as names from g group by contig, grp"""
 ORACLE_SQL["catalog_aliases"] = f"""with {_MADE}, names as (select id, lower(id) as name from done union all select id, lower(gene) from done union all select * from (values ('L7', 'seventh'), ('L7', 'l9'), ('L11', 'eleventh')) as v(id, name) where id in (select id from done))
 select distinct w.key, n.id from names n join (values ('l9'), ('ELEVENTH'), ('seventh'), ('brand#13'), ('nowhere')) as w(key) on lower(w.key) = n.name"""

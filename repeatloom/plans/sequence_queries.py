@@ -81,4 +81,26 @@ s as (select ord, case when rev then 2 + 2 * k else 1 end as qpos, 10 as likelih
 select ord, cast(qpos as int) as qpos, cast(likelihood + 0.5 as double) / 256 as p_m, cast(0 as double) as p_h from s"""
 
 
-QUERIES |= {f.__name__: f for f in (decompose_units, find_regions, tract_lengths, consensus_sequence, base_modifications)}
+def period_decision(spark, sf_dir) -> DataFrame:
+    """Tracts of six-base units at loci of five: the other period is told where the tract holds six of its copies."""
+    from ..functions.udfs import competing_period
+
+    s = segments(spark, sf_dir).select("locus", "truth")
+    tract = F.when(F.col("locus") % 2 == 1, F.repeat(F.lit("AAAGGG"), F.col("truth"))).otherwise(F.repeat(F.lit("AAAGG"), F.col("truth")))
+    return s.select("locus", "truth", competing_period(tract, F.lit(5), F.array(F.lit(6))).alias("period"))
+
+
+ORACLE_SQL["period_decision"] = f"with {_SEGMENTS} select locus, truth, case when locus % 2 = 1 and truth >= 6 then 6 end as period from segments"
+
+
+def crossed_units(spark, sf_dir) -> DataFrame:
+    """Lower bounds of reads that leave the tract at its left or right end; none below three units."""
+    s = segments(spark, sf_dir).withColumn("from_left", F.col("locus") % 2 == 0)
+    window = F.struct(F.lit(25).alias("start"), (F.length("seq") - 25).alias("end"))
+    return tracts.crossed(s, "seq", "unit_len", F.array("motif"), F.col("from_left"), window).select("locus", "truth", "lower_bound_units")
+
+
+ORACLE_SQL["crossed_units"] = f"with {_SEGMENTS} select locus, truth, case when truth >= 3 then truth else 0 end as lower_bound_units from segments"
+
+
+QUERIES |= {f.__name__: f for f in (decompose_units, find_regions, tract_lengths, consensus_sequence, base_modifications, period_decision, crossed_units)}

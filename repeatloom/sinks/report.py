@@ -36,14 +36,14 @@ def report_date() -> str:
     return time.strftime("%Y-%m-%d", time.gmtime(int(at) if at and at.isdigit() else time.time()))
 
 
-def build(loci: DataFrame, reads: DataFrame, sample: str) -> str:
+def build(loci: DataFrame, reads: DataFrame, sample: str, catalogue: str | None = None) -> str:
     """The page as text. loci and reads: the text tables; a catalogue's loci are few."""
     rows = sorted((r.asDict() for r in loci.withColumn("tier", qc.tier()).collect()), key=lambda r: (_ORDER[r["tier"]], r["ord"]))
     findings = [r.asDict() for r in qc.run_checks(loci).orderBy("no").collect()]
     nested = {r["locus"]: json.loads(r["reads"]) for r in payload(reads).collect()}
     esc = lambda x: html.escape(str(x), quote=True)
     shown = ["locus", "gene", "tier", "a1_median", "a2_median", "a1_cls", "a2_cls", "evidence", "method", "notes"]
-    body = [f"<h1>{esc(sample)}</h1><p>{report_date()}</p><h2>Checks</h2><ul>"]
+    body = [f"<h1>{esc(sample)}</h1><p>{report_date()}{" - catalogue " + esc(catalogue) if catalogue else ""}</p><h2>Checks</h2><ul>"]
     body += [f"<li>{esc(f['status'])}: {esc(f['check'])} - {esc(f['message'])}</li>" for f in findings]
     body += ["</ul><h2>Loci</h2><table><tr>", *[f"<th>{c}</th>" for c in shown], "</tr>"]
     for r in rows:

@@ -91,8 +91,8 @@ def get_style(name: str | None = None, path: str | None = None) -> dict:
     return styles[name]
 
 
-def header(style: dict, sample: str, contigs: list[tuple[str, int | None]]) -> list[str]:
-    out = [f"##fileformat=VCFv{style['fileformat']}", "##source=repeatloom"]
+def header(style: dict, sample: str, contigs: list[tuple[str, int | None]], catalogue: str | None = None) -> list[str]:
+    out = [f"##fileformat=VCFv{style['fileformat']}", "##source=repeatloom", *([f"##catalogue={catalogue}"] if catalogue else [])]
     out += [f"##contig=<ID={c},length={n}>" if n else f"##contig=<ID={c}>" for c, n in contigs]
     if style["alt"] == "cnv_tr":
         out.append('##ALT=<ID=CNV:TR,Description="Tandem repeat">')
@@ -152,10 +152,10 @@ def records(rows: DataFrame, style: dict) -> DataFrame:
     return rows.select(line.alias("line"), "ord")
 
 
-def write(rows: DataFrame, path: str, sample: str, style: dict, lengths: dict[str, int] | None = None) -> None:
+def write(rows: DataFrame, path: str, sample: str, style: dict, lengths: dict[str, int] | None = None, catalogue: str | None = None) -> None:
     """A VCF file; only contigs of the loci are declared (a catalogue's, so few)."""
     from .tables import write_text
 
     seen = list(dict.fromkeys(r["contig"] for r in rows.orderBy("ord").select("contig").toLocalIterator()))
     body = records(rows, style).orderBy("ord").select(F.col("line").alias("value"))
-    write_text(body, path, header(style, sample, [(c, (lengths or {}).get(c)) for c in seen]))
+    write_text(body, path, header(style, sample, [(c, (lengths or {}).get(c)) for c in seen], catalogue))

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from .. import schema as S
 from ..functions import classify as C
 from ..functions import sequence as Q
+from ..functions import text as X
 
 _LISTS = "reference_motif_reference_orientation pathogenic_motif_reference_orientation benign_motif_reference_orientation unknown_motif_reference_orientation interruption_reference_orientation inheritance".split()
 _NUMBERS = "benign_min benign_max intermediate_min intermediate_max pathogenic_min pathogenic_max ref_copies".split()
@@ -32,8 +33,22 @@ def of_length(motifs: Column, n: Column) -> Column:
 
 def load(spark: SparkSession, path: str, build: str = "hg38", overlay: dict | None = None) -> DataFrame:
     """Loci of a JSON array of records, a row each in file order (``ord``)."""
+    return from_records(read_records(spark, path), build, overlay)
+
+
+def dropped(raw: DataFrame, build: str = "hg38") -> DataFrame:
+    """(id, ord) of records that ``from_records`` leaves out."""
+    n = F.col("motif_len").cast("int")
+    usable = F.lit(False)
+    for kind in ("reference", "pathogenic"):
+        usable = usable | (F.size(of_length(F.col(f"{kind}_motif_reference_orientation"), n)) > 0)
+    return raw.where(F.col(f"start_{build}").isNull() | F.col(f"stop_{build}").isNull() | ~F.coalesce(usable, F.lit(False))).select("id", "ord")
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """Records of a JSON array, a row each in file order (``ord``)."""
     raw = spark.read.schema(record_schema()).option("multiLine", True).json(path)
-    return from_records(raw.withColumn("ord", F.monotonically_increasing_id()), build, overlay)
+    return raw.withColumn("ord", F.monotonically_increasing_id())
 
 
 def from_records(raw: DataFrame, build: str = "hg38", overlay: dict | None = None) -> DataFrame:
@@ -186,8 +201,56 @@ def unknown_keys(loci: DataFrame, keys: list[str]) -> list[str]:
 
 
 def bed(loci: DataFrame, flank: int = 0) -> DataFrame:
-    """contig, start, end, name, ord: padded intervals, starts not below 0."""
-    return loci.select("contig", F.greatest(F.col("start_pos") - flank, F.lit(0)).alias("start"), (F.col("end_pos") + flank).alias("end"), F.col("id").alias("name"), "ord")
+    """contig, start, end, motif, name, ord: padded intervals, starts not below 0."""
+    return loci.select("contig", F.greatest(F.col("start_pos") - flank, F.lit(0)).alias("start"), (F.col("end_pos") + flank).alias("end"), F.element_at("ref_motifs", 1).alias("motif"), F.col("id").alias("name"), "ord")
+
+
+def listing(loci: DataFrame) -> DataFrame:
+    """The catalogue as text columns, with ``ord``."""
+    shown = lambda c: F.when(F.col(c).isNull(), X.MISSING).when(F.col(c) == F.rint(c), F.col(c).cast("long").cast("string")).otherwise(X.general(F.col(c)))
+    bp = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("0")) if c in loci.columns else F.lit("0")
+    between = F.when(F.col("imin").isNull(), X.MISSING).otherwise(F.concat_ws("-", shown("imin"), shown("imax")))
+    columns = {
+        "id": F.col("id"), "gene": F.col("gene"), "chrom": F.col("contig"), "start": F.col("start_pos").cast("string"), "end": F.col("end_pos").cast("string"), "strand": F.col("gene_strand"), "motif_gene": F.col("gene_motif"),
+        "motif_ref": F.element_at("ref_motifs", 1), "unit_len": F.col("unit_len").cast("string"), "regime": F.col("regime"), "composition": X.flag(F.col("composition")), "benign_max": shown("bmax"), "intermediate": between,
+        "pathogenic_min": shown("pmin"), "pathogenic_max": shown("pmax"), "meth_relevant": X.flag(F.col("meth_relevant")), "meth_up_bp": bp("meth_up_bp"), "meth_down_bp": bp("meth_down_bp"), "aliases": F.array_join("aliases", ","),
+    }
+    return loci.select(*[v.alias(k) for k, v in columns.items()], "ord")
+
+
+def short_motif(motif: Column) -> Column:
+    """A motif as it is told to a reader: long ones by their first bases and length."""
+    return F.when(F.length(motif) <= 12, motif).otherwise(F.concat(F.substring(motif, 1, 9), F.format_string("...(%d bp)", F.length(motif))))
+
+
+def told_motifs(loci: DataFrame) -> DataFrame:
+    """(id, class, motif, reason, ord): every motif that is not matched, shortened."""
+    return loci.select("id", "ord", F.explode("unused_motifs").alias("u")).select("id", "u.class", short_motif(F.col("u.motif")).alias("motif"), "u.reason", "ord")
+
+
+def provenance(spark: SparkSession, overlay: dict) -> DataFrame:
+    """Every claim of the overlay with its source: (kind, locus, no, upper, label, claim,
+    source, section, quote, note, inhouse, jurisdiction, citation, open_access).
+
+    kind is ``band`` (two claims each: its boundary and its naming) or ``discrepancy``.
+    A claim without a source, or whose source is not listed, has no citation.
+    """
+    text = lambda d, k: None if d.get(k) in (None, "") else " ".join(str(d[k]).split())
+    claims = []
+    for locus, entry in (overlay.get("loci") or {}).items():
+        for no, band in enumerate(entry.get("bands") or []):
+            upper = None if band.get("upper") is None else float(band["upper"])
+            for claim in ("boundary", "naming"):
+                said = band.get(claim) or {}
+                note = text(band, "rationale") if entry.get("inhouse") else text(said, "note")
+                claims.append(("band", locus, no, upper, str(band.get("label")), claim, text(said, "source"), text(said, "section"), text(said, "quote"), note, bool(entry.get("inhouse"))))
+    for no, d in enumerate(overlay.get("discrepancies") or []):
+        label = f"{d.get('catalogue')} against {d.get('other')}"
+        claims.append(("discrepancy", str(d.get("locus")), no, None, label, text(d, "field"), text(d, "other_source"), text(d, "kind"), text(d, "applied"), text(d, "note"), False))
+    sources = [(k, text(s, "jurisdiction"), text(s, "citation"), bool(s.get("open_access"))) for k, s in (overlay.get("sources") or {}).items()]
+    left = spark.createDataFrame(claims, "kind string, locus string, no int, upper double, label string, claim string, source string, section string, quote string, note string, inhouse boolean")
+    right = spark.createDataFrame(sources, "source string, jurisdiction string, citation string, open_access boolean")
+    return left.join(right, "source", "left")
 
 
 def resolve_contigs(loci: DataFrame, contigs: DataFrame) -> DataFrame:

@@ -60,8 +60,8 @@ def annotate(loci: DataFrame, path: str, flank: int = 100, margin: int = 12) ->
         left, right = period_flanks(around, lo, r["start_pos"], r["end_pos"], r["unit_len"], reach)
         pad = fasta.fetch(name, r["start_pos"] - 1, r["start_pos"]).upper() if r["start_pos"] > 0 else None
         rows.append((r["id"], fasta.fetch(name, r["start_pos"], r["end_pos"]).upper(), pad, (left, right)))
-    found = loci.sparkSession.createDataFrame(rows, "id string, ref_tract string, ref_pad string, period struct<left:int,right:int>")
-    return loci.drop("ref_tract", "ref_pad", "period").join(found, "id", "left")
+    found = loci.sparkSession.createDataFrame(rows, "id string, ref_tract string, ref_pad string, period struct<left:int,right:int>").withColumn("in_reference", F.lit(True))
+    return loci.drop("ref_tract", "ref_pad", "period", "in_reference").join(found, "id", "left").fillna(False, ["in_reference"])
 
 
 def mismatched(loci: DataFrame, alignment_contigs: DataFrame, reference_contigs: DataFrame) -> DataFrame:

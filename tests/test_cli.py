@@ -12,7 +12,7 @@ from repeatloom.sinks import vcf
 def made(spark, tmp_path_factory):
     d = tmp_path_factory.mktemp("cli")
     (d / "c.json").write_text(json.dumps(CATALOG))
-    (d / "o.yaml").write_text("sources: {s1: {kind: paper, citation: c}}\nloci: {TOY_MOTIF: {aliases: [ZEBRA], bands: [{upper: 44, label: normal}, {upper: null, label: full}]}}\ndiscrepancies: [{locus: X, kind: k}]\n")
+    (d / "o.yaml").write_text("sources: {s1: {kind: paper, citation: c, jurisdiction: Nowhere}}\nloci: {TOY_MOTIF: {aliases: [ZEBRA], bands: [{upper: 44, label: normal, boundary: {source: s1, section: 2.1}}, {upper: null, label: full}]}}\ndiscrepancies: [{locus: X, kind: k}]\n")
     lines = [REF[k : k + 80] for k in range(0, len(REF), 80)]
     (d / "ref.fa").write_text(f">{CONTIG}\n" + "\n".join(lines) + "\n")
     (d / "ref.fa.fai").write_text(f"{CONTIG}\t{len(REF)}\t6\t80\t81\n")
@@ -70,12 +70,17 @@ def test_listings(made, capsys):
     assert cli.main(["loci", *base, "--regime", "expansion"]) == 0
     assert LOCUS in capsys.readouterr().out
     assert cli.main(["bed", *base, "--flank", "50", "--locus", "zebra"]) == 0
-    assert capsys.readouterr().out == f"{CONTIG}\t{START - 50}\t{END + 50}\t{LOCUS}\n"
-    cli.main(["bed", *base, "--merge"])
-    assert capsys.readouterr().out.count("\n") == 2
+    assert capsys.readouterr().out == f"{CONTIG}\t{START - 50}\t{END + 50}\t{MOTIF}\t{LOCUS}\n"
+    cli.main(["bed", *base, "--merge", "--out", str(made / "m.bed")])
+    assert capsys.readouterr().out == "" and (made / "m.bed").read_text().count("\n") == 2
+    cli.main(["loci", *base])
+    said = capsys.readouterr()
+    assert len(said.out.splitlines()[0].split("\t")) == 19 and "ZEBRA" in said.out and "interruption CGTT" in said.err and said.err.rstrip().endswith("NO_MOTIF")
     with pytest.raises(SystemExit):
         cli.main(["bed", *base, "--locus", "nope"])
-    for more, text in ((["--sources"], "paper"), (["--discrepancies"], "X"), ([], "full")):
+    for more, text in ((["--sources"], "paper"), (["--discrepancies"], "X\tk"), ([], "44\tnormal\tboundary\ts1\t2.1\tNowhere"), ([], "above\tfull\tnaming\t.")):
         cli.main(["provenance", "--overlay", str(made / "o.yaml"), *more])
         assert text in capsys.readouterr().out
+    text = (made / "r.vcf").read_text()
+    assert "##catalogue=c.json sha256:" in text and "c.json sha256:" in (made / "r.html").read_text()
     assert cli.main(["vcf-styles"]) == 0 and cli.catalogue_label(str(made / "c.json")).startswith("c.json sha256:")

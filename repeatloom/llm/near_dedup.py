@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,21 +116,28 @@ def _sketch(width: int):
     return run
 
 
+def _unpacked(data: bytes) -> str:
+    return zstandard.ZstdDecompressor().decompress(data).decode("utf-8", "surrogatepass")
+
+
 def _texts(width: int):
-    """Recompute nodes of texts; each node once a partition."""
+    """Recompute nodes of texts; each node once a partition. Texts travel compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
+        pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            nodes, texts = [], []
+            nodes, texts, sizes = [], [], []
             for text in batch.column(0).to_pylist():
                 s = shingle_set(text, width)
                 d = xxhash.xxh3_128_digest(s.tobytes())
                 if len(s) and d not in seen:
                     seen.add(d)
+                    data = text.encode("utf-8", "surrogatepass")
                     nodes.append(d)
-                    texts.append(text)
-            yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.binary()), "text": pa.array(texts, pa.string())})
+                    texts.append(pack.compress(data))
+                    sizes.append(len(data))
+            yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.binary()), "text": pa.array(texts, pa.binary()), "bytes": pa.array(sizes, pa.int64())})
 
     return run
 
@@ -138,9 +146,9 @@ def _confirm(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: OrderedDict[bytes, np.ndarray] = OrderedDict()
 
-        def of(node: bytes, text: str) -> np.ndarray:
+        def of(node: bytes, text: bytes) -> np.ndarray:
             if node not in kept:
-                kept[node] = shingle_set(text, width)
+                kept[node] = shingle_set(_unpacked(text), width)
                 if len(kept) > 16:
                     kept.popitem(last=False)
             return kept[node]
@@ -229,7 +237,7 @@ def _merges(width: int, percent: int):
                     continue
                 for k in (i, j):
                     if k not in sets:
-                        sets[k] = shingle_set(rows[k][9], width)
+                        sets[k] = shingle_set(_unpacked(rows[k][9]), width)
                 if alike(sets[i], sets[j], percent):
                     up[max(a, b)] = min(a, b)
                     out.append((rows[i][5], rows[j][5]))
@@ -259,10 +267,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, id_
     members = cut(buckets.join(leaders, "bucket"), "members")
     involved = cut(members.select("node").distinct().join(nodes.select("node", "id"), "node"), "involved")
     wanted = docs.join(involved.select(F.col("id").alias("wanted")).distinct(), F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
-    texts = cut(wanted.select("text").mapInArrow(_texts(width), "node binary, text string").join(involved.select("node"), "node", "left_semi"), "texts")
+    texts = cut(wanted.select("text").mapInArrow(_texts(width), "node binary, text binary, bytes long").join(involved.select("node"), "node", "left_semi"), "texts")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        x = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+        x = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
         return x.mapInArrow(_confirm(width, percent), "a binary, b binary")
 
     star = members.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
@@ -290,9 +298,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, id_
     every = blocked(big, F.ceil(F.col("n") / BLOCK)).select(*columns)
     paired = cut(every.repartition(*group).sortWithinPartitions(*group).mapInArrow(_paired, "bucket long, node binary").distinct(), "paired")
     rest = big.join(paired, ["bucket", "node"], "left_semi")
-    weights = paired.join(texts.select("node", F.octet_length("text").alias("bytes")), "node").groupBy("bucket").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("left"))
+    weights = paired.join(texts.select("node", "bytes"), "node").groupBy("bucket").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("left"))
     rest = rest.join(weights, "bucket")
-    large = blocked(rest, F.greatest(F.ceil(F.col("left") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES))).join(texts, "node").select(*columns, "text")
+    large = blocked(rest, F.greatest(F.ceil(F.col("left") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES))).join(texts.select("node", "text"), "node").select(*columns, "text")
     merges = large.repartition(*group).sortWithinPartitions(*group).mapInArrow(_merges(width, percent), "a binary, b binary")
     second = connected_components(links.unionByName(merges))
 

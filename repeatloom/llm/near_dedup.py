@@ -103,15 +103,16 @@ def _sketch(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("near_dedup", dict)  # other operators' caches go
         for batch in batches:
-            n, digests, keys, sigs = [], [], [], []
+            n, digests, keys, bands, sigs = [], [], [], [], []
             for text in batch.column(1):
                 s = shingle_set(text.as_py(), width)
                 n.append(len(s))
                 sig = signature(s)
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                 keys.append(band_keys(sig))
+                bands.append((keys[-1] >> 32).astype(np.int32).tobytes())
                 sigs.append((sig & np.uint32(255)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "n_shingles": pa.array(n, pa.int64()), "node": pa.array(digests, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64())), "sig": pa.array(sigs, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "n_shingles": pa.array(n, pa.int64()), "node": pa.array(digests, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64())), "bands": pa.array(bands, pa.binary()), "sig": pa.array(sigs, pa.binary())})
 
     return run
 
@@ -176,27 +177,27 @@ def _groups(batches: Iterator[pa.RecordBatch], n_key: int) -> Iterator[list[tupl
 
 
 def _across(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of pairs to confirm in a group of (bucket, lo, hi, block, node, root, leader, keys, sig, ...)."""
+    """Indices of pairs to confirm in a group of (bucket, lo, hi, block, node, root, bands, sig, ...).
+
+    bands: the upper halves of a node's bucket names, by which the first shared band is told.
+    """
     bucket, lo, hi = rows[0][:3]
-    sig = np.frombuffer(b"".join(r[8] for r in rows), np.uint8).reshape(len(rows), -1)
-    keys = np.array([r[7] for r in rows], np.int64)
+    sig = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(len(rows), -1)
+    keys = np.frombuffer(b"".join(r[6] for r in rows), np.int32).reshape(len(rows), -1)
     roots = {r: k for k, r in enumerate({r[5]: 0 for r in rows})}
     root = np.array([roots[r[5]] for r in rows])
-    lead = np.array([r[4] == r[6] for r in rows])
     block = np.array([r[3] for r in rows])
     out = []
     for i in range(len(rows) - 1):
-        if lead[i]:
-            continue
         j = np.arange(i + 1, len(rows))
-        j = j[(root[j] != root[i]) & ~lead[j]]
+        j = j[root[j] != root[i]]
         if lo != hi:
             j = j[block[j] != block[i]]
         if len(j):
             j = j[(sig[j] == sig[i]).sum(1) >= AGREE * sig.shape[1]]
         if len(j):
             same = keys[j] == keys[i]
-            j = j[keys[i][same.argmax(1)] == bucket]
+            j = j[keys[i][same.argmax(1)] == bucket >> 32]
         if len(j):
             out.append((np.full(len(j), i), j))
     if not out:
@@ -237,7 +238,7 @@ def _merges(width: int, percent: int):
                     continue
                 for k in (i, j):
                     if k not in sets:
-                        sets[k] = shingle_set(_unpacked(rows[k][9]), width)
+                        sets[k] = shingle_set(_unpacked(rows[k][8]), width)
                 if alike(sets[i], sets[j], percent):
                     up[max(a, b)] = min(a, b)
                     out.append((rows[i][5], rows[j][5]))
@@ -258,8 +259,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, id_
     others. An empty table gives no rows; columns but id and text are not read.
     """
     docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    sketches = cut(docs.mapInArrow(_sketch(width), "id long, n_shingles long, node binary, keys array<bigint>, sig binary"), "sketches")
-    nodes = cut(sketches.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("sig").alias("sig")), "nodes")
+    sketches = cut(docs.mapInArrow(_sketch(width), "id long, n_shingles long, node binary, keys array<bigint>, bands binary, sig binary"), "sketches")
+    nodes = cut(sketches.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes")
 
     # 2. members of buckets, and links to their leaders
     buckets = nodes.select("node", F.explode("keys").alias("bucket"))
@@ -277,12 +278,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, id_
     first = cut(connected_components(confirmed(star)), "components")
 
     # 3. what lies across components inside a bucket
-    rooted = members.where("n > 2").join(first, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"), "leader", "n")
+    # (leaders have been compared with all)
+    rooted = members.where("n > 2 and node != leader").join(first, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"), "n")
     rooted = cut(rooted, "rooted")
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("bucket")
-    open_ = rooted.join(mixed, "bucket", "left_semi").join(nodes.select("node", "keys", "sig"), "node")
+    open_ = rooted.join(mixed, "bucket", "left_semi").join(nodes.select("node", "bands", "sig"), "node")
     group = ["bucket", "lo", "hi"]
-    columns = [*group, "block", "node", "root", "leader", "keys", "sig"]
+    columns = [*group, "block", "node", "root", "bands", "sig"]
     small = open_.where(f"n <= {SMALL}").select("bucket", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("block"), *columns[4:])
     pairs = small.repartition(*group).sortWithinPartitions(*group).mapInArrow(_candidates, "a binary, b binary, ra binary, rb binary").distinct()
     pairs = cut(pairs, "pairs")

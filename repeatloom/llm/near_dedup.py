@@ -103,16 +103,15 @@ def _sketch(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("near_dedup", dict)  # other operators' caches go
         for batch in batches:
-            n, digests, keys, bands, sigs = [], [], [], [], []
+            n, digests, keys, sigs = [], [], [], []
             for text in batch.column(1):
                 s = shingle_set(text.as_py(), width)
                 n.append(len(s))
                 sig = signature(s)
                 digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                 keys.append(band_keys(sig))
-                bands.append((keys[-1] >> 32).astype(np.int32).tobytes())
                 sigs.append((sig & np.uint32(255)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "n_shingles": pa.array(n, pa.int64()), "node": pa.array(digests, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64())), "bands": pa.array(bands, pa.binary()), "sig": pa.array(sigs, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "n_shingles": pa.array(n, pa.int64()), "node": pa.array(digests, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64())), "sig": pa.array(sigs, pa.binary())})
 
     return run
 
@@ -183,7 +182,7 @@ def _across(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
     """
     bucket, lo, hi = rows[0][:3]
     sig = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(len(rows), -1)
-    keys = np.frombuffer(b"".join(r[6] for r in rows), np.int32).reshape(len(rows), -1)
+    keys = np.array([r[6] for r in rows], np.int32)
     roots = {r: k for k, r in enumerate({r[5]: 0 for r in rows})}
     root = np.array([roots[r[5]] for r in rows])
     block = np.array([r[3] for r in rows])
@@ -259,8 +258,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, id_
     others. An empty table gives no rows; columns but id and text are not read.
     """
     docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    sketches = cut(docs.mapInArrow(_sketch(width), "id long, n_shingles long, node binary, keys array<bigint>, bands binary, sig binary"), "sketches")
-    nodes = cut(sketches.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes")
+    sketches = cut(docs.mapInArrow(_sketch(width), "id long, n_shingles long, node binary, keys array<bigint>, sig binary"), "sketches")
+    nodes = cut(sketches.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("sig").alias("sig")), "nodes")
 
     # 2. members of buckets, and links to their leaders
     buckets = nodes.select("node", F.explode("keys").alias("bucket"))
@@ -271,7 +270,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, id_
     texts = cut(wanted.select("text").mapInArrow(_texts(width), "node binary, text binary, bytes long").join(involved.select("node"), "node", "left_semi"), "texts")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        x = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+        # merged at every size: texts are never sent to all tasks
+        ta, tb = (texts.select(F.col("node").alias(k), F.col("text").alias(f"t{k}")).hint("merge") for k in "ab")
+        x = pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
         return x.mapInArrow(_confirm(width, percent), "a binary, b binary")
 
     star = members.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
@@ -282,7 +283,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, id_
     rooted = members.where("n > 2 and node != leader").join(first, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"), "n")
     rooted = cut(rooted, "rooted")
     mixed = rooted.groupBy("bucket").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("bucket")
-    open_ = rooted.join(mixed, "bucket", "left_semi").join(nodes.select("node", "bands", "sig"), "node")
+    halves = nodes.select("node", F.transform("keys", lambda k: F.shiftright(k, 32).cast("int")).alias("bands"), "sig")
+    open_ = rooted.join(mixed, "bucket", "left_semi").join(halves.hint("merge"), "node")
     group = ["bucket", "lo", "hi"]
     columns = [*group, "block", "node", "root", "bands", "sig"]
     small = open_.where(f"n <= {SMALL}").select("bucket", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("block"), *columns[4:])
@@ -302,7 +304,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, id_
     rest = big.join(paired, ["bucket", "node"], "left_semi")
     weights = paired.join(texts.select("node", "bytes"), "node").groupBy("bucket").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("left"))
     rest = rest.join(weights, "bucket")
-    large = blocked(rest, F.greatest(F.ceil(F.col("left") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES))).join(texts.select("node", "text"), "node").select(*columns, "text")
+    large = blocked(rest, F.greatest(F.ceil(F.col("left") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES))).join(texts.select("node", "text").hint("merge"), "node").select(*columns, "text")
     merges = large.repartition(*group).sortWithinPartitions(*group).mapInArrow(_merges(width, percent), "a binary, b binary")
     second = connected_components(links.unionByName(merges))
 

@@ -9,11 +9,11 @@ document's shingles, so 80 permutations fill 32 bands of 5 values; at a similari
    the links found join nodes into components: one large group of close copies costs
    as many comparisons as it has members.
 3. Buckets that still hold several components are compared inside, in blocks of about
-   ``BLOCK`` members. A pair is taken up in the first band that it shares, if it lies
+   ``SIGNED`` members. A pair is taken up in the first band that it shares, if it lies
    across components and its signatures agree well enough. What is compared are names and
    signatures. Buckets of up to ``SMALL`` members emit their pairs; of larger ones the
    members of such pairs meet again with their texts (``BLOCK_BYTES`` a block, about) and
-   are confirmed there, which emits one link for each merge instead of all pairs.
+   are confirmed there in blocks of ``BLOCK``, which emits one link for each merge instead of all pairs.
 
 So every pair that shares a band is either in one component already or compared.
 """
@@ -36,6 +36,8 @@ from .graph import connected_components
 BANDS, ROWS = 32, 5
 PERMUTATIONS = BANDS * ROWS // 2
 SMALL, BLOCK = 64, 256
+#: Members of a block that is compared by signatures alone, without texts.
+SIGNED = 4096
 #: Bytes of text in a block, about; very long texts make smaller blocks.
 BLOCK_BYTES = 16_000_000
 #: Share of equal signature values below which a pair is not confirmed: six standard
@@ -299,7 +301,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, id_
         dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, cast(blocks - 1 as int))")))
         return dealt.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
 
-    every = blocked(big, F.ceil(F.col("n") / BLOCK)).select(*columns)
+    every = blocked(big, F.ceil(F.col("n") / SIGNED)).select(*columns)
     paired = cut(every.repartition(*group).sortWithinPartitions(*group).mapInArrow(_paired, "bucket long, node binary").distinct(), "paired")
     rest = big.join(paired, ["bucket", "node"], "left_semi")
     weights = paired.join(texts.select("node", "bytes"), "node").groupBy("bucket").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("left"))

@@ -86,6 +86,7 @@ def corpus(r, groups, size, edits):
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, seed, groups, size, edits):
     monkeypatch.setattr(N, "SMALL", 16)  # the second case has buckets beyond it
     monkeypatch.setattr(N, "BLOCK", 24)
+    monkeypatch.setattr(N, "SIGNED", 40)
     monkeypatch.setattr(N, "BLOCK_BYTES", 20_000)
     rows = corpus(random.Random(seed), groups, size, edits)
     n = len(rows)

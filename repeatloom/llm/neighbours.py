@@ -7,8 +7,9 @@ summed coordinates; all vectors in the probed buckets are compared exactly.
 
 Probes cover a fixed number of a table's buckets, whose number grows with the square of
 the rotated width. So vectors wider than ``WIDEST``, of which they would cover too little,
-and lengths of at most ``BLOCK`` entries are one bucket that all queries look into, and a
-query that found fewer than are asked for is compared with all entries of its length.
+are one bucket that all queries look into. All others are hashed, however few they are; a
+query whose probes led to at most ``BLOCK`` comparisons, or to fewer entries than are asked
+for, is then compared with all entries of its length. No rule looks at the table's size.
 
 Equal vectors are one entry that carries its smallest ids, so copies cost nothing.
 The buckets that share a table and a first axis are a group. A task walks its groups one
@@ -33,8 +34,8 @@ TABLES, HASHES, PROBES = 20, 2, 160
 #: Axes a hash that probe codes are made from.
 AXES = 16
 NEAREST, QUERY_STEP = 5, 50
-#: Entries of a length up to which all are compared.
-BLOCK = 4096
+#: Comparisons, over all tables, up to which a query is compared with all entries of its length.
+BLOCK = 64
 WIDEST = 64
 #: Entries and queries of a group that are held by one task.
 SPLIT, ASKED = 65_536, 16_384
@@ -170,8 +171,9 @@ def _best(q: np.ndarray, c: np.ndarray, s: np.ndarray, nearest: int) -> tuple[np
     return q[keep], c[keep], s[keep]
 
 
-def _compared(rows: pa.Table, names: np.ndarray, matrix: np.ndarray, nearest: int) -> list[tuple]:
-    """Rows (bucket, entry, vector or null for a query) of whole buckets: each query's best of its buckets."""
+def _compared(rows: pa.Table, names: np.ndarray, matrix: np.ndarray, nearest: int) -> tuple[list[tuple], np.ndarray, np.ndarray]:
+    """Rows (bucket, entry, vector or null for a query) of whole buckets: each query's best of its
+    buckets, and for each probe that met entries its query and how many they were."""
     bucket, entry = rows.column(0).to_numpy(), rows.column(1).to_numpy()
     column = rows.column(2).combine_chunks()
     column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
@@ -191,7 +193,7 @@ def _compared(rows: pa.Table, names: np.ndarray, matrix: np.ndarray, nearest: in
         x = flat[at[c][:, None] + np.arange(n)].astype(float)
         parts.append(_best(entry[row], entry[c], _cosines(y, x), nearest))
         start = end
-    return parts
+    return parts, entry[ask], hi - lo
 
 
 def _search(kind: str, nearest: int):
@@ -221,10 +223,13 @@ def _search(kind: str, nearest: int):
                     flat, _ = _matrix(rows.column(2).combine_chunks(), kind)
                     order = np.argsort(names, kind="stable")
                     asked = names[order], flat.reshape(len(names), -1)[order]
-                parts = _compared(t.slice(0, end), *asked, nearest)
+                parts, probing, met = _compared(t.slice(0, end), *asked, nearest)
                 if parts:
                     q, c, s = _best(*(np.concatenate(x) for x in zip(*parts)), nearest)
-                    yield pa.RecordBatch.from_pydict({"query": pa.array(q, pa.int64()), "entry": pa.array(c, pa.int64()), "score": pa.array(s, pa.float64())})
+                    name, at = np.unique(probing, return_inverse=True)
+                    seen = np.zeros(len(q), np.int64)
+                    seen[np.searchsorted(q, name)] = np.bincount(at, met)  # on a query's first row
+                    yield pa.RecordBatch.from_pydict({"query": pa.array(q, pa.int64()), "entry": pa.array(c, pa.int64()), "score": pa.array(s, pa.float64()), "seen": pa.array(seen)})
             waiting, held = t.slice(end).to_batches(), held - end
 
         for batch in batches:
@@ -250,7 +255,8 @@ def _search(kind: str, nearest: int):
 
 
 def _looked_up(index: DataFrame, looked: DataFrame, kind: str, nearest: int) -> DataFrame:
-    """(query, entry, score): each query's best ``nearest`` + 1 entries, or more, of the buckets in its codes."""
+    """(query, entry, score, seen): each query's best ``nearest`` + 1 entries, or more, of the buckets
+    in its codes; the sum of ``seen`` over a query's rows is the number of its comparisons."""
     group = F.shiftright("bucket", LOW).alias("group")
     groups = F.explode(F.array_distinct(F.transform("codes", lambda c: F.shiftright(c, LOW)))).alias("group")
     held = index.select(F.explode("codes").alias("bucket"), "entry", "vector").select(group, "*")
@@ -281,7 +287,7 @@ def _looked_up(index: DataFrame, looked: DataFrame, kind: str, nearest: int) ->
     n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = both.repartitionById(n, F.pmod("piece", F.lit(n)).cast("int")).sortWithinPartitions("piece", "group", "block", "asked", "bucket", "kind")
     name = F.xxhash64("piece", "group", "block", "asked").alias("piece")
-    return both.select(name, "bucket", "kind", "entry", "vector").mapInArrow(_search(kind, nearest + 1), "query long, entry long, score double").groupBy("query", "entry").agg(F.max("score").alias("score"))
+    return both.select(name, "bucket", "kind", "entry", "vector").mapInArrow(_search(kind, nearest + 1), "query long, entry long, score double, seen long").groupBy("query", "entry").agg(F.max("score").alias("score"), F.sum("seen").alias("seen"))
 
 
 def nearest_neighbours(vectors: DataFrame, queries: DataFrame, nearest: int = NEAREST, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
@@ -308,22 +314,21 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, nearest: int = NE
 
     rows, asked_rows = packed(vectors, "vectors"), packed(queries, "asked")
     length = (F.length("vector") / np.dtype(kind).itemsize).cast("long").alias("length")
-    sizes = {r["length"]: r["n"] for r in rows.groupBy(length).agg(F.countDistinct("digest").alias("n")).collect()}
-    whole = frozenset(n for n, size in sizes.items() if size <= BLOCK or n > WIDEST)
+    lengths = [r["length"] for r in rows.select(length).distinct().collect()]
+    whole = frozenset(n for n in lengths if n > WIDEST)
     schema = "entry long, vector binary, codes array<bigint>"
     index = cut(entries(rows).select("entry", "vector").mapInArrow(_bucketed(kind, tables, hashes, 0, whole), schema), "index")
     looked = cut(entries(asked_rows).select("entry", "vector").mapInArrow(_bucketed(kind, tables, hashes, probes, whole), schema), "looked")
     found = _looked_up(index, looked, kind, nearest)
-    hashed = [n for n in sizes if n not in whole]
+    hashed = [n for n in lengths if n not in whole]
     if hashed:
         found = cut(found, "found")
-        counts = found.groupBy(F.col("query").alias("entry")).agg(F.count("*").alias("n"))
+        counts = found.groupBy(F.col("query").alias("entry")).agg(F.count("*").alias("n"), F.sum("seen").alias("seen"))
         every = F.array(F.shiftleft(length, 44) + F.lit(ALL)).alias("codes")
-        few = looked.where(length.isin(hashed)).join(counts, "entry", "left").where(F.coalesce("n", F.lit(0)) <= nearest)
+        few = looked.where(length.isin(hashed)).join(counts, "entry", "left").where((F.coalesce("n", F.lit(0)) <= nearest) | (F.coalesce("seen", F.lit(0)) <= BLOCK))
         few = cut(few.select("entry", "vector", every), "few")
         if not few.isEmpty():
-            lengths = few.select(length).distinct()
-            again = index.select("entry", "vector", every, length).join(lengths, "length", "left_semi").drop("length")
+            again = index.select("entry", "vector", every, length).join(few.select(length).distinct(), "length", "left_semi").drop("length")
             found = found.unionByName(_looked_up(again, few, kind, nearest)).groupBy("query", "entry").agg(F.max("score").alias("score"))
     first_of = Window.partitionBy("query").orderBy(F.desc("score"), "entry")
     found = found.withColumn("n", F.row_number().over(first_of)).where(F.col("n") <= nearest + 1)

@@ -238,3 +238,14 @@ def test_few_candidates(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [1e200, 1e200])], "vec_id long, embedding array<double>")
     got = sorted(tuple(x) for x in A.nearest_neighbours(df, df.where("vec_id = 0")).collect())
     assert [(x[0], x[1], x[2]) for x in got] == [(0, 1, 1), (0, 2, 2)] and got[0][3] == pytest.approx(2**-0.5)
+
+
+@pytest.mark.parametrize("block", [150, 800])
+def test_neighbours_do_not_depend_on_the_tables_size(spark, monkeypatch, block):
+    """What a query's own probes led to decides, on either side of the bound: few comparisons are made up for."""
+    r = np.random.default_rng(8)
+    vectors = [(k, r.normal(size=64).tolist()) for k in range(200)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(A, "BLOCK", block)
+    got = sorted((x.query_id, x["rank"], x.vec_id) for x in A.nearest_neighbours(df, df.where("vec_id % 50 = 0"), probes=32).collect())
+    assert got == sorted((q, k + 1, i) for q, best in brute_nearest(vectors).items() for k, (i, _) in enumerate(best))

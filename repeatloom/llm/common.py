@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +74,43 @@ def held(key, make):
     """A worker process's one large object, kept between tasks; asking for another drops it,
     so the caches of operators that share executors do not add up."""
     if key not in _HELD:
-        _HELD.clear()
+        if _HELD:
+            _HELD.clear()
+            give_back()
         _HELD[key] = make()
     return _HELD[key]
+
+
+#: Bytes that a task reads before what it freed meanwhile is given back.
+GIVE_BACK_BYTES = 16_000_000
+
+
+def give_back() -> None:
+    """Return freed memory to the system: allocators keep it, and that of waiting workers adds up."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+    if trim is not None:
+        trim(0)
+
+
+def trimmed(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``kernel``, giving back what it frees as it goes and, unless it read little, when a task ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read, due = 0, GIVE_BACK_BYTES
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            nonlocal read, due
+            for batch in batches:
+                read += batch.nbytes
+                yield batch
+                del batch
+                if read >= due:
+                    due = read + GIVE_BACK_BYTES
+                    give_back()
+
+        yield from kernel(counted())
+        if read >= GIVE_BACK_BYTES // 16:
+            give_back()
+
+    return run

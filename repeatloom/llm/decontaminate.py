@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held, table
+from .common import cut, held, table, trimmed
 
 WINDOW = 8
 #: Benchmark text (bytes) that one automaton holds; more text is scanned in further passes.
@@ -184,7 +184,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         part = items if n == 1 else items.where(F.expr(f"pmod(xxhash64(item_id), {n}) = {k}"))
         rows = sorted((r["item_id"], r["text"]) for r in part.collect())  # at most about slice_bytes
         schema = df.schema if "text" in keep or k < n - 1 else df.drop("text").schema
-        scanned = df.mapInArrow(_pruned(_scanner(rows, window), schema.names), schema)
+        scanned = df.mapInArrow(trimmed(_pruned(_scanner(rows, window), schema.names)), schema)
         df = scanned if k == n - 1 else cut(scanned, "decontaminate")
     return df.select(
         *keep,

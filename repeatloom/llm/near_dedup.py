@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held, table
+from .common import cut, held, table, trimmed
 from .graph import connected_components
 
 BANDS, ROWS = 32, 5
@@ -260,7 +260,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, id_
     others. An empty table gives no rows; columns but id and text are not read.
     """
     docs = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    sketches = cut(docs.mapInArrow(_sketch(width), "id long, n_shingles long, node binary, keys array<bigint>, sig binary"), "sketches")
+    sketches = cut(docs.mapInArrow(trimmed(_sketch(width)), "id long, n_shingles long, node binary, keys array<bigint>, sig binary"), "sketches")
     nodes = cut(sketches.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("sig").alias("sig")), "nodes")
 
     # 2. members of buckets, and links to their leaders
@@ -269,13 +269,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, id_
     members = cut(buckets.join(leaders, "bucket"), "members")
     involved = cut(members.select("node").distinct().join(nodes.select("node", "id"), "node"), "involved")
     wanted = docs.join(involved.select(F.col("id").alias("wanted")).distinct(), F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
-    texts = cut(wanted.select("text").mapInArrow(_texts(width), "node binary, text binary, bytes long").join(involved.select("node"), "node", "left_semi"), "texts")
+    texts = cut(wanted.select("text").mapInArrow(trimmed(_texts(width)), "node binary, text binary, bytes long").join(involved.select("node"), "node", "left_semi"), "texts")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         # merged at every size: texts are never sent to all tasks
         ta, tb = (texts.select(F.col("node").alias(k), F.col("text").alias(f"t{k}")).hint("merge") for k in "ab")
         x = pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
-        return x.mapInArrow(_confirm(width, percent), "a binary, b binary")
+        return x.mapInArrow(trimmed(_confirm(width, percent)), "a binary, b binary")
 
     star = members.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     first = cut(connected_components(confirmed(star)), "components")
@@ -290,7 +290,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, id_
     group = ["bucket", "lo", "hi"]
     columns = [*group, "block", "node", "root", "bands", "sig"]
     small = open_.where(f"n <= {SMALL}").select("bucket", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("block"), *columns[4:])
-    pairs = small.repartition(*group).sortWithinPartitions(*group).mapInArrow(_candidates, "a binary, b binary, ra binary, rb binary").distinct()
+    pairs = small.repartition(*group).sortWithinPartitions(*group).mapInArrow(trimmed(_candidates), "a binary, b binary, ra binary, rb binary").distinct()
     pairs = cut(pairs, "pairs")
     links = confirmed(pairs.select("a", "b")).join(pairs, ["a", "b"]).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
     big = open_.where(f"n > {SMALL}")
@@ -302,12 +302,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, id_
         return dealt.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
 
     every = blocked(big, F.ceil(F.col("n") / SIGNED)).select(*columns)
-    paired = cut(every.repartition(*group).sortWithinPartitions(*group).mapInArrow(_paired, "bucket long, node binary").distinct(), "paired")
+    paired = cut(every.repartition(*group).sortWithinPartitions(*group).mapInArrow(trimmed(_paired), "bucket long, node binary").distinct(), "paired")
     rest = big.join(paired, ["bucket", "node"], "left_semi")
     weights = paired.join(texts.select("node", "bytes"), "node").groupBy("bucket").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("left"))
     rest = rest.join(weights, "bucket")
     large = blocked(rest, F.greatest(F.ceil(F.col("left") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES))).join(texts.select("node", "text").hint("merge"), "node").select(*columns, "text")
-    merges = large.repartition(*group).sortWithinPartitions(*group).mapInArrow(_merges(width, percent), "a binary, b binary")
+    merges = large.repartition(*group).sortWithinPartitions(*group).mapInArrow(trimmed(_merges(width, percent)), "a binary, b binary")
     second = connected_components(links.unionByName(merges))
 
     # components of all nodes

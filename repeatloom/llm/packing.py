@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, table, trimmed
 from .tokens import encoder, vocabulary
 
 TIERS = (2048, 1024, 512, 256)
@@ -176,7 +176,7 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, tiers: tuple[i
         yield _batch(packer.pack(True), with_ids)
 
     schema = PIECES + ", number long" + (", ids binary" if with_ids else "")
-    pieces = cut(docs.select("doc_id", "text").mapInArrow(run, schema), "pieces")
+    pieces = cut(docs.select("doc_id", "text").mapInArrow(trimmed(run), schema), "pieces")
     part = F.shiftright("sequence_id", PART_BITS)
     over = pieces.where("step_group is null and offset = 0").groupBy(part.alias("part"), "context").count().collect()  # a few counts a partition
     done = pieces.where("step_group is not null").drop("number")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held, table
+from .common import cut, held, table, trimmed
 
 #: Labelled rows that are learnt from at most, those of smallest hash of their ids.
 LEARN_ROWS = 12_000
@@ -227,11 +227,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn_rows: int = LEARN_ROWS) -> Mod
     rows = cut(rows, "labelled")
     n = {r["toxic"]: r["count"] for r in rows.where("part < 5").groupBy("toxic").count().collect()}
     n0, n1 = n.get(0, 0), n.get(1, 0)
-    counts = rows.where("part < 5").select("text", "toxic").mapInArrow(_keys_of, "key string, toxic long").groupBy("key").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where(F.col("a") >= LEAST_TEXTS)
+    counts = rows.where("part < 5").select("text", "toxic").mapInArrow(trimmed(_keys_of), "key string, toxic long").groupBy("key").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where(F.col("a") >= LEAST_TEXTS)
     weight = F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("b") + 0.5) / (n0 + 1)) - F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
     found = counts.select("key", weight.alias("w")).where(F.col("w") >= LEAST_WEIGHT).orderBy(F.desc("w"), "key").limit(LEXICON).collect() if n0 and n1 else []
     lexicon = {r["key"]: round(r["w"], 6) for r in found}
-    measured = rows.where("part >= 5").mapInArrow(_measure(lexicon), "toxic long, part long, x array<double>").collect()  # at most learn_rows short rows
+    measured = rows.where("part >= 5").mapInArrow(trimmed(_measure(lexicon)), "toxic long, part long, x array<double>").collect()  # at most learn_rows short rows
     measured.sort(key=lambda r: (r["part"], r["toxic"], r["x"]))
     x = np.array([r["x"] for r in measured], float).reshape(len(measured), len(FEATURES))
     return Model(lexicon, x, np.array([r["toxic"] for r in measured], float), np.array([r["part"] >= 8 for r in measured], bool))
@@ -244,18 +244,20 @@ def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) ->
     texts have equal scores; an empty table gives no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by LEXICON and the trees
+    text = "text" if "text" in keep else "_text"  # one copy travels
     schema = docs.select(*keep).withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         tokens = _tokens(known.lexicon)
         for batch in batches:
-            x = np.array([features(t.as_py() or "", tokens) for t in batch.column("_text")], float).reshape(batch.num_rows, len(FEATURES))
+            x = np.array([features(t.as_py() or "", tokens) for t in batch.column(text)], float).reshape(batch.num_rows, len(FEATURES))
             s = known.score(x)
             columns = {c: batch.column(c) for c in keep}
             yield pa.RecordBatch.from_pydict(columns | {"score": pa.array(s), "predicted": pa.array((s >= 0.5).astype(np.int32))})
 
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
+    sent_once = docs.select(*keep) if text == "text" else docs.select(*keep, F.col("text").alias(text))
+    return sent_once.mapInArrow(trimmed(run), schema)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, keep: tuple[str, ...] = ("doc_id",), learn_rows: int = LEARN_ROWS) -> DataFrame:

@@ -1,6 +1,13 @@
 """Stages of the corpus pipeline."""
 
+import subprocess
+import sys
+from pathlib import Path
+
+import numpy as np
+
 import corpus_pipeline as P
+from repeatloom.llm import toxicity as T
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -17,3 +24,31 @@ def test_one_row_of_each_group_stays(spark):
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], DOCS)
     got = sorted(((x.doc_id, x.text) for x in P.keep_one(spark, df, "").collect()), key=str)
     assert got == sorted([(3, long[0]), (2, long[1]), (7, long[2]), (None, long[3]), (9, ""), (10, "")], key=str)
+
+
+def test_rejecting_toxic_documents_sends_each_text_once(spark, capsys):
+    df = spark.createDataFrame([(k, f"text {k}", "en", "a", 6) for k in range(4)], DOCS)
+    model = T.Model({}, np.zeros((0, len(T.FEATURES))), np.zeros(0), np.zeros(0, bool))
+    scored = T.score(df, model, keep=tuple(P.DOCUMENT_COLUMNS))
+    assert sorted((x.doc_id, x.text, x.score) for x in scored.collect()) == [(k, f"text {k}", 0.0) for k in range(4)]
+    scored.explain()
+    assert "_text" not in capsys.readouterr().out
+
+
+def test_a_task_gives_back_what_it_freed():
+    code = """
+import pyarrow as pa
+from repeatloom.llm import common
+rss = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096 / 1e6
+kept = []
+def kernel(batches):
+    for batch in batches:
+        made = [bytes(1000) for _ in range(150_000)]
+        kept.extend(made[::100])  # scattered, so that the allocator alone cannot shrink
+        yield batch
+batch = pa.RecordBatch.from_pydict({"text": ["x" * 1000] * 2000})
+before = rss()
+assert sum(b.num_rows for b in common.trimmed(kernel)(iter([batch, batch]))) == 4000
+assert rss() - before < 60, rss() - before
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=Path(P.__file__).parent)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repeatloom.llm import decontaminate, line_dedup, near_dedup, packing, toxicity
-from repeatloom.llm.common import DOCUMENT_COLUMNS, cut, new_path, table
+from repeatloom.llm.common import DOCUMENT_COLUMNS, cut, new_path, perhaps_among, table
 
 #: A document is dropped when this share of its words lies in benchmark passages.
 HIT_SHARE = 0.5
@@ -47,15 +47,21 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of rows that tie the one of the least hash, and then of the least other columns, stays.
     Texts without words duplicate nothing, so they stay, but for equal rows.
     Ids may repeat, so rows are known by a hash of id and text. Rows that share it are
-    copies, of which one stays; only hashes on several rows are brought together.
+    copies, of which one stays; only hashes on several rows are brought together. Rows that
+    surely stay are told by a filter of the other hashes, so their texts are not moved.
     """
     keyed = docs.select(*DOCUMENT_COLUMNS, F.xxhash64("doc_id", "text").alias("_key"))
     found = near_dedup.near_duplicates(keyed, width=5, id_column="_key").groupBy("_key").agg(F.min("component_id").alias("group"))
     rows = keyed.groupBy("_key").agg(F.min("doc_id").alias("id"), F.count("*").alias("_rows"))
+    grouped = cut(found.join(rows, "_key"), "grouped")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_key", "_rows")).alias("first")
-    kept = cut(found.join(rows, "_key").groupBy("group").agg(first).select("first._key", "first._rows"), "kept")
-    single = keyed.join(kept.where("_rows = 1"), "_key", "left_semi").select(*DOCUMENT_COLUMNS)
-    copies = keyed.join(kept.where("_rows > 1"), "_key", "left_semi").groupBy("_key").agg(F.min(F.struct(*DOCUMENT_COLUMNS)).alias("row"))
+    kept = cut(grouped.groupBy("group").agg(first).select("first._key", "first._rows"), "kept")
+    other = cut(grouped.select("_key").join(kept.where("_rows = 1"), "_key", "left_anti"), "other")
+    told = perhaps_among(keyed, "_key", other, "_other")
+    stay, unsure = (told.where(x).drop("_other") for x in ("not _other", "_other"))
+    # merged at every size, as a filter's errors and the rows that go grow with the input
+    single = unsure.join(kept.where("_rows = 1").hint("merge"), "_key", "left_semi").unionByName(stay).select(*DOCUMENT_COLUMNS)
+    copies = unsure.join(kept.where("_rows > 1").hint("merge"), "_key", "left_semi").groupBy("_key").agg(F.min(F.struct(*DOCUMENT_COLUMNS)).alias("row"))
     return single.unionByName(copies.select("row.*"))
 
 

@@ -59,6 +59,31 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of a filter for each of its keys, and in all: a filter of 2**30 bits is 128 MB.
+FILTER_BITS, MOST_FILTER_BITS = 32, 2**30
+
+
+def perhaps_among(df: DataFrame, column: str, keys: DataFrame, flag: str) -> DataFrame:
+    """``df`` with a column ``flag``: false where ``column`` is surely not among ``keys``.
+
+    ``keys`` has one column of the same type. It is hashed to slots, and all tasks get a bit
+    for each slot, so rows of long texts are told apart without being moved. One row in
+    ``FILTER_BITS`` or fewer is flagged in error, more if ``MOST_FILTER_BITS`` are too few
+    for the keys; none is missed. A null is a key like others.
+    """
+    slots = min(MOST_FILTER_BITS, FILTER_BITS * max(1, keys.count()))
+    slot, names = free_name(df.columns, "_slot"), df.columns
+    bucket, bits = free_name(names, "_bucket"), free_name(names, "_bits")
+    told = keys.select(F.pmod(F.xxhash64(keys.columns[0]), F.lit(slots)).alias(slot))
+    told = told.select(F.bitmap_bucket_number(slot).alias(bucket), F.bitmap_bit_position(slot).alias(slot))
+    told = told.repartition(bucket).groupBy(bucket).agg(F.bitmap_construct_agg(slot).alias(bits))
+    rows = df.withColumn(slot, F.pmod(F.xxhash64(column), F.lit(slots)))
+    rows = rows.withColumns({bucket: F.bitmap_bucket_number(slot), slot: F.bitmap_bit_position(slot).cast("int")})
+    byte = F.expr(f"cast(conv(hex(substring({bits}, {slot} div 8 + 1, 1)), 16, 10) as bigint)")
+    found = F.expr(f"shiftleft(1L, {slot} % 8)").bitwiseAND(F.coalesce(byte, F.lit(0))) != 0
+    return rows.join(F.broadcast(told), bucket, "left").select(*names, found.alias(flag))
+
+
 def free_name(columns: list[str], base: str) -> str:
     """``base``, lengthened until no column has that name (Spark ignores case)."""
     taken = {c.lower() for c in columns}

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held, table, trimmed
+from .common import cut, held, perhaps_among, table, trimmed
 from .graph import connected_components
 
 BANDS, ROWS = 32, 5
@@ -123,23 +123,24 @@ def _unpacked(data: bytes) -> str:
 
 
 def _texts(width: int):
-    """Recompute nodes of texts; each node once a partition. Texts travel compressed."""
+    """Recompute nodes of (id, text); each node of an id once a partition. Texts travel compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+        seen: set[tuple] = set()
         pack = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            nodes, texts, sizes = [], [], []
-            for text in batch.column(0).to_pylist():
+            ids, nodes, texts, sizes = [], [], [], []
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 s = shingle_set(text, width)
                 d = xxhash.xxh3_128_digest(s.tobytes())
-                if len(s) and d not in seen:
-                    seen.add(d)
+                if len(s) and (d, i) not in seen:
+                    seen.add((d, i))
                     data = text.encode("utf-8", "surrogatepass")
+                    ids.append(i)
                     nodes.append(d)
                     texts.append(pack.compress(data))
                     sizes.append(len(data))
-            yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.binary()), "text": pa.array(texts, pa.binary()), "bytes": pa.array(sizes, pa.int64())})
+            yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int64()), "node": pa.array(nodes, pa.binary()), "text": pa.array(texts, pa.binary()), "bytes": pa.array(sizes, pa.int64())})
 
     return run
 
@@ -268,8 +269,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = PERCENT, id_
     leaders = buckets.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1")
     members = cut(buckets.join(leaders, "bucket"), "members")
     involved = cut(members.select("node").distinct().join(nodes.select("node", "id"), "node"), "involved")
-    wanted = docs.join(involved.select(F.col("id").alias("wanted")).distinct(), F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
-    texts = cut(wanted.select("text").mapInArrow(trimmed(_texts(width)), "node binary, text binary, bytes long").join(involved.select("node"), "node", "left_semi"), "texts")
+    # (what is wanted in error, as other copies of a node, is left out by node and id)
+    wanted = perhaps_among(docs, "id", involved.select("id"), "wanted").where("wanted")
+    texts = wanted.select("id", "text").mapInArrow(trimmed(_texts(width)), "id long, node binary, text binary, bytes long")
+    named = involved.select(F.col("node").alias("named"), F.col("id").alias("by"))
+    texts = cut(texts.join(named, (F.col("node") == F.col("named")) & F.col("id").eqNullSafe(F.col("by")), "left_semi").drop("id"), "texts")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         # merged at every size: texts are never sent to all tasks

@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from repeatloom.llm import common
 from repeatloom.llm import near_dedup as N
 from repeatloom.llm.graph import connected_components
 from repeatloom.llm.line_dedup import drop_boilerplate
@@ -104,6 +105,18 @@ def test_near_duplicates_edge_cases(spark):
     assert N.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_one_text_of_each_node_is_compared(spark, monkeypatch):
+    monkeypatch.setattr(common, "MOST_FILTER_BITS", 1)  # every document is let through
+    made = {}
+    monkeypatch.setattr(N, "cut", lambda df, name: made.setdefault(name, common.cut(df, name)))
+    long = [" ".join(f"{w}{k}" for k in range(60)) for w in "ab"]
+    rows = [(9 - k, long[0] + " end" * (k % 2)) for k in range(8)] + [(20, long[1]), (None, long[1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((tuple(x) for x in N.near_duplicates(df, width=4).collect()), key=str)
+    assert got == brute_components(rows, 4)
+    assert made["texts"].count() == 2  # of two nodes, whichever copies a partition has
+
+
 def test_signatures_estimate_similarity():
     r = np.random.default_rng(1)
     a = r.integers(0, 2**63, 1000, dtype=np.uint64)
